@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, packing, simhash, token_counts
+from . import decontamination, line_dedup, packing, quality, simhash, token_counts
 
-MODULES = (simhash, decontamination, token_counts, packing)
+MODULES = (simhash, decontamination, quality, line_dedup, token_counts, packing)
 
 
 def queries() -> dict:
