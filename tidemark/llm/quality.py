@@ -111,6 +111,16 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", buckets: int = B
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("method_failed")).drop("_q_w")
 
 
+def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """df without its rejected rows.
+
+    The row number keeps the condition above the judgement: pushed below, its columns would be computed in place,
+    arrays inside lambdas among them.
+    """
+    judged = judge(df, labels, **options).withColumn("_q_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select(*df.columns)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
