@@ -66,3 +66,13 @@ def ascii_lower(text: Column) -> Column:
     ASCII letters (U+212A, U+0130) are replaced by other non-ASCII letters first.
     """
     return F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı")))
+
+
+#: Columns that name and order rows: null ids last, then by id, then by the text's hash. Rows that repeat doc_id and
+#: text share them.
+ROW = ["_row_none", "_row_id", "_row_hash"]
+
+
+def keyed(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the ROW columns, none of them null."""
+    return df.withColumns({"_row_none": F.col("doc_id").isNull(), "_row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row_hash": F.coalesce(F.xxhash64(text), F.lit(0))})

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, line_dedup, packing, quality, simhash, token_counts
+from . import decontamination, language_id, license_scan, line_dedup, packing, quality, secret_scan, simhash, token_counts, url_filter
 
-MODULES = (simhash, decontamination, quality, line_dedup, token_counts, packing)
+MODULES = (simhash, decontamination, url_filter, license_scan, quality, line_dedup, token_counts, packing, language_id, secret_scan)
 
 
 def queries() -> dict:
