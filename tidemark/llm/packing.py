@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
-from .tokenizing import prove_single_tokens, read_tokenizer, table
+from .tokenizing import encoder, read_tokenizer
 
 WINDOW = 1024
 END_ID = 0
@@ -132,11 +132,11 @@ def pack(df: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW,
     Sequence ids carry the task's partition number, so a task that runs again gives the same ones.
     """
     spec = read_tokenizer(tokenizer_path)
-    sent = df.sparkSession.sparkContext.broadcast((spec, prove_single_tokens(spec)))
+    sent = df.sparkSession.sparkContext.broadcast(spec)
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = table("ids", *sent.value), Packer(window, max_open)
+        tokens, packer = encoder(sent.value), Packer(window, max_open)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         sequence = TaskContext.get().partitionId() << 40
@@ -154,7 +154,7 @@ def pack(df: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW,
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc_id, b"".join(tokens.of(text.as_py() or "")) + end)
+                packer.add(doc_id, tokens.encode(text.as_py() or "") + end)
                 if len(packer.closed) >= 4096:
                     yield rows(packer.drain())
         packer.finish()

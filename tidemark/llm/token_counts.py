@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import load
-from .tokenizing import prove_single_tokens, read_tokenizer, table
+from .tokenizing import counter, prove_single_tokens, read_tokenizer
 
 LIMIT = 512
 
@@ -31,7 +31,7 @@ def count_tokens(df: DataFrame, text: str = "text", tokenizer_path: str | None =
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = table("count", *sent.value)
+        tokens = counter(*sent.value)
         for batch in batches:
             n_bytes, n_tokens = [], []
             for x in batch.column(len(rest)):

@@ -7,14 +7,18 @@ beyond the bound is merged again, never dropped.
 
 A text goes to the library as a whole if it holds a special token's string or a character that this Python's
 Unicode tables do not know (its class may differ between libraries).
+
+Where ids are wanted, not counts, `Encoder` runs the same split and the same merges in one pass of another library over
+ranks taken from the same file; it makes sure first that the file's merges are in the order of their ids.
 """
 
 from __future__ import annotations
 
 import json
-import struct
 import unicodedata
 
+import numpy as np
+
 from .common import worker_state
 
 #: The split that byte-level BPE vocabularies of this family use before merging.
@@ -47,8 +51,7 @@ def prove_single_tokens(spec: str) -> dict[str, int]:
 
     tokenizer = Tokenizer.from_str(spec)
     added = {x["id"] for x in json.loads(spec)["added_tokens"]}
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
+    byte_of = bytes_by_letter()
     split = regex.compile(PATTERN)
     strings, ids = [], []
     for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
@@ -99,14 +102,65 @@ class PreTokens(dict):
         return [self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)]
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+class Encoder:
+    """A text's ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, spec: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.special = [x["content"] for x in json.loads(spec)["added_tokens"]]
+        ranks = byte_ranks(spec)
+        self.fast = tiktoken.Encoding("from file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        # UTF-16 units that send a text to the library: unassigned here, or half of a pair
+        self.unsure = np.array([0xD800 <= c < 0xE000 or unicodedata.category(chr(c)) == "Cn" for c in range(0x10000)])
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        plain = text.isascii() or not self.unsure[np.frombuffer(text.encode("utf-16-le"), np.uint16)].any()
+        if self.fast and plain and not any(x in text for x in self.special):
+            try:
+                return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+            except BaseException as e:  # its regex engine gives up on very long runs of spaces
+                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def byte_ranks(spec: str) -> dict[bytes, int] | None:
+    """bytes -> id, if the ids rise in the order of the merges, so that lower ids merge first; else None."""
+    model = json.loads(spec)["model"]
+    byte_of = bytes_by_letter()
+    vocab = model["vocab"]
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if None in merged or any(a >= b for a, b in zip(merged, merged[1:])) or len(merged) + 256 != len(vocab):
+        return None
+    return {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+
+
+def bytes_by_letter() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1 as it is, the rest from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
+
+
+def counter(spec: str, proved: dict[str, int]) -> PreTokens:
+    """The worker's table for one tokenizer; its values are numbers of tokens."""
+    kept = worker_state()
+    key = ("count", hash(spec))
+    if key not in kept:
+        kept[key] = PreTokens(spec, proved, len)
+    return kept[key]
 
 
-def table(kind: str, spec: str, proved: dict[str, int]) -> PreTokens:
-    """The worker's table for one tokenizer; kind: `count` or `ids` (little-endian unsigned 32-bit)."""
+def encoder(spec: str) -> Encoder:
+    """The worker's encoder for one tokenizer."""
     kept = worker_state()
-    key = (kind, hash(spec))
+    key = ("ids", hash(spec))
     if key not in kept:
-        kept[key] = PreTokens(spec, proved, len if kind == "count" else pack_ids)
+        kept[key] = Encoder(spec)
     return kept[key]
