@@ -14,14 +14,20 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(name: str, oracle: str | None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLE_SQL[name] = oracle
-        return f
-
-    return add
+def query_into(queries: dict, oracles: dict):
+    def query(name: str, oracle: str | None):
+        def add(f):
+            queries[name] = f
+            if oracle:
+                oracles[name] = oracle
+            return f
+
+        return add
+
+    return query
+
+
+query = query_into(QUERIES, ORACLE_SQL)
 
 
 def rounded(df: DataFrame, *keys: str, digits: int = 6, **own: int) -> DataFrame:
