@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bar_queries, grading_queries
+from . import bar_queries, grading_queries, maintain_queries, track_queries
 
-MODULES = (bar_queries, grading_queries)
+MODULES = (bar_queries, grading_queries, maintain_queries, track_queries)
 
 
 def queries() -> dict:
