@@ -76,3 +76,9 @@ ROW = ["_row_none", "_row_id", "_row_hash"]
 def keyed(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the ROW columns, none of them null."""
     return df.withColumns({"_row_none": F.col("doc_id").isNull(), "_row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row_hash": F.coalesce(F.xxhash64(text), F.lit(0))})
+
+
+def set_aside(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """df with those of its columns that have one of `names` renamed, and the map to rename them back."""
+    back = {f"_aside_{c}": c for c in df.columns if c in names}
+    return df.withColumnsRenamed({c: k for k, c in back.items()}), back

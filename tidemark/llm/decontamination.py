@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, materialise
+from .common import load, materialise, set_aside
 
 SIZE = 10
 BLOCK_BYTES = 16_000_000
@@ -172,9 +172,10 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, mode: str = "document", **options) -> DataFrame:
     """df without its leaks: whole documents (`document`) or only the hit words (`span`, the rest stays as it is)."""
+    df, back = set_aside(df, ("n_words", "spans", "items"))
     leaks = find_leaks(df, benchmark, **options)
     if mode == "document":
-        return leaks.where(F.size("spans") == 0).select(*df.columns)
+        return leaks.where(F.size("spans") == 0).select(*df.columns).withColumnsRenamed(back)
     if mode != "span":
         raise ValueError(mode)
     columns, schema = df.columns, df.schema
@@ -199,7 +200,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, mode: str = "document", *
             arrays = [pa.array(texts, pa.string()) if i == at else batch.column(c) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return leaks.mapInArrow(cut, schema)
+    return leaks.mapInArrow(cut, schema).withColumnsRenamed(back)
 
 
 def digest(leaks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ all of a template's votes is an exact place. Diagonals up to `band` apart are me
 diagonal) and kept if their votes together cover at least `coverage` of the template.
 
 Nothing but hits is shuffled. Null texts have no words. Repeated rows get equal results, an empty table gives no rows.
-Extra columns are kept; names that start with `_row_` are reserved.
+Extra columns are kept unless scan() makes one of that name; names that start with `_row_` are reserved.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ TEMPLATES = (
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("licensed under cc by 4 0", "cc-by"),
 )
+#: Columns that scan() makes, in place of columns of these names.
+MADE = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 BAND = 2
 COVERAGE = 0.8
 
@@ -103,9 +105,9 @@ def scan(df: DataFrame, text: str = "text", **options) -> DataFrame:
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         joined(F.collect_set(F.when(base, F.col("label")))).alias("base_labels"), joined(F.collect_set("label")).alias("labels"), F.max("covered").alias("score"),
     ).withColumnsRenamed({c: f"{c}2" for c in ROW})
-    rows = keyed(df, text).withColumn("n_words", F.size(words(text)).cast("long")).drop(text)
+    rest = [c for c in df.columns if c not in (text, *MADE)]
+    rows = keyed(df, text).select(*rest, *ROW, F.size(words(text)).cast("long").alias("n_words"))
     out = rows.join(each, [F.col(c) == F.col(f"{c}2") for c in ROW], "left")
-    rest = [c for c in df.columns if c != text]
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select(*rest, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", empty("base_labels"), empty("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 

@@ -12,7 +12,7 @@ multinomials, from all rows concerned; the tables that the tasks need have `buck
 
 Null texts have no words, fail the base rule and score 0. Repeated rows count and are judged one by one; an empty table
 gives no rows. Labels with a null doc_id or quality are not read; a doc_id with labels 0 and 1 is not trusted. Extra
-columns are kept; names that start with `_q_` are reserved.
+columns are kept (by judge() unless it makes one of that name); names that start with `_q_` are reserved.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, load
+from .common import SPACES, load, set_aside
 
 BUCKETS = 1 << 13
 TRUSTED_ROWS = 20_000
@@ -30,6 +30,8 @@ SPREAD = 6.0
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 WINDOW = 5
+#: Columns that judge() makes; in its result they replace columns of these names.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "threshold", "method_failed", "kept")
 
 
 def words(text: str) -> Column:
@@ -117,8 +119,10 @@ def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
     The row number keeps the condition above the judgement: pushed below, its columns would be computed in place,
     arrays inside lambdas among them.
     """
-    judged = judge(df, labels, **options).withColumn("_q_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select(*df.columns)
+    own, back = set_aside(df, MADE)
+    judged = judge(own, labels, **options).withColumn("_q_row", F.monotonically_increasing_id())
+    kept = judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select(*own.columns)
+    return kept.withColumnsRenamed(back)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ of the file how many chunks it has. What is in no chunk is outside by definition
 is decoding the whole text. Whole texts are scanned.
 
 The field is trained here, on a bounded sample: of all chunks of the corpus, those `SAMPLE` with and `SAMPLE` without a
-pattern match of least hash; tokens inside a match are the secret. For half of the sampled secrets, by hash, the words
-before are hidden, so that the field also learns from shape. Training runs on the driver over at most 2 * SAMPLE chunks,
+pattern match of least hash; tokens inside a match are the secret. Chunks without a match
+may be secrets that no pattern knows, so only their shapes teach; of half of the others, by hash, the words before
+are hidden too, so that words add evidence for a secret but are not needed. Training runs on the driver over at most 2 * SAMPLE chunks,
 the first 64 tokens of each, by stochastic gradient on the log-likelihood, in a fixed order.
 
 Spans: the patterns' matches (`assign`, `access`, `hex`, each leftmost and non-overlapping) and the field's
@@ -40,7 +41,7 @@ TOKEN = r"[A-Za-z0-9]+|[+/_.=-]"
 SAMPLE = 1500
 EPOCHS = 8
 #: Hashed features; the weights are WIDTH x 3 and 3 x 3 numbers.
-WIDTH = 1 << 13
+WIDTH = 1 << 17
 OUT, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -181,7 +182,7 @@ def sample(df: DataFrame, text: str, n: int) -> list[tuple[list[list[int]], list
                     k, h = bool(inside), xxhash.xxh64_intdigest(x[max(0, a - 40) : b]) >> 1
                     if h >= limit[k] or h in kept[k]:
                         continue
-                    places, features = chunk_features(x, a, b, len(every), rx, blind=k and h & 1 == 1)
+                    places, features = chunk_features(x, a, b, len(every), rx, blind=not k or h & 1 == 1)
                     on = [any(s <= p and q <= e for s, e in inside) for p, q in places]
                     tags = [OUT if not o else INSIDE if i and on[i - 1] else BEGIN for i, o in enumerate(on)]
                     kept[k][h] = (features[:64], tags[:64])

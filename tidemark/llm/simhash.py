@@ -217,39 +217,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """doc_id, fp, fingerprint (hex), component_id: one row for each row of df."""
+    """doc_id, fp, fingerprint (hex), component_id, root (a fingerprint that names the component): one row for each row of df."""
     fps = materialise(fingerprints(df, text), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), budget))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialise(named.join(least, "root").select("fp", "component_id"), "components")
-    return fps.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(named.join(least, "root").select("fp", "root", "component_id"), "components")
+    return fps.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(df: DataFrame, text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """df with one row of each component: the one with its least doc_id (of rows that repeat it, one)."""
+    """df with one row of each component: the one with its least doc_id (of rows that repeat it, one).
+
+    Of a component without any doc_id, one of the rows with its least fingerprint stays. Names that start with `_sh_`
+    are reserved.
+    """
     found = materialise(near_duplicates(df.select("doc_id", text), text, budget), "near")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = df.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    if not unnamed.take(1):
-        return named.select(*df.columns)
-    nameless = df.where(F.col("doc_id").isNull()).withColumn("_row", F.xxhash64(text)).dropDuplicates(["_row"])
-    nameless = fingerprint_column(nameless, text).join(unnamed, "fp", "left_semi").dropDuplicates(["fp"])
-    return named.select(*df.columns).unionByName(nameless.select(*df.columns))
-
-
-def fingerprint_column(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with its fp as a further column."""
+    first = found.where(F.col("doc_id") == F.col("component_id"))
+    # a doc_id that several texts share is settled by doc_id and fingerprint; these rows are fingerprinted again
+    shared = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id"), "shared")
+    kept = first.join(shared, "doc_id", "left_anti").select("doc_id").distinct()
+    out = df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*df.columns)
+    if not shared.isEmpty():
+        own = with_fingerprint(df.join(shared, "doc_id", "left_semi").select(*df.columns), text)
+        pairs = first.select("doc_id", F.col("fp").alias("_sh_fp")).distinct()
+        out = out.unionByName(own.join(pairs, ["doc_id", "_sh_fp"], "left_semi").dropDuplicates(["doc_id"]).select(*df.columns))
+    unnamed = found.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias("_sh_fp")).select("_sh_fp")
+    if not unnamed.isEmpty():
+        own = with_fingerprint(df.where(F.col("doc_id").isNull()), text)
+        out = out.unionByName(own.join(unnamed, "_sh_fp", "left_semi").dropDuplicates(["_sh_fp"]).select(*df.columns))
+    return out
+
+
+def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with its fingerprint as column _sh_fp."""
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x.as_py()) for x in batch.column(columns.index(text))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=[*columns, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=[*columns, "_sh_fp"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("fp", T.LongType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("_sh_fp", T.LongType())]))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
