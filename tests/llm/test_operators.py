@@ -266,7 +266,7 @@ def slow_scores(all_rows, trusted, buckets):
             raw[b] += 1
             target[b] += i in trusted
     ratio = np.round(np.log(target / target.sum()) - np.log(raw / raw.sum()), 6)
-    return lambda t: float(np.mean(ratio[places(t)])) if places(t) else 0.0
+    return lambda t: float(ratio[places(t)].sum() / (len(places(t)) + quality.PRIOR)) if places(t) else 0.0
 
 
 def test_quality_matches_brute_force(spark, docs, empty):

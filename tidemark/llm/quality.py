@@ -3,7 +3,8 @@
 Words are runs of other characters than 0x20 and 0x09-0x0D. Words and word pairs are hashed to `buckets` buckets. One
 multinomial is fitted to all rows (raw corpus), one to the trusted rows (target): those labelled quality 1, or, if
 there are more than `trusted_rows` of them, that many of least hash. A document's score is the mean over its words
-and pairs of the log ratio of their smoothed probabilities. It is rejected by the method if the score is below the
+and pairs of the log ratio of their smoothed probabilities, with `PRIOR` more grams of ratio 0, so that a few words do
+not decide. It is rejected by the method if the score is below the
 threshold, and by the base rules if it has fewer than 10 words or over a fifth of its words stand in 5-word windows
 that occur twice or more.
 
@@ -27,6 +28,8 @@ from .common import SPACES, load, set_aside
 BUCKETS = 1 << 13
 TRUSTED_ROWS = 20_000
 SPREAD = 6.0
+#: Grams of ratio 0 that each mean includes.
+PRIOR = 50
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 WINDOW = 5
@@ -71,10 +74,10 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
 
 
 def score(w: str, ratios: Column, buckets: int) -> Column:
-    """The mean log ratio of the words and pairs in array column w; 0 for no words."""
+    """The length-normalised log ratio of the words and pairs in array column w; 0 for no words."""
     step = lambda s, i: s + F.get(ratios, bucket(F.get(w, i), buckets=buckets)) + F.when(i + 1 < F.size(w), F.get(ratios, bucket(F.get(w, i), F.get(w, i + 1), buckets=buckets))).otherwise(0.0)
     total = F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), F.lit(0.0), step)
-    return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).otherwise(0.0)
+    return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1 + PRIOR)).otherwise(0.0)
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
