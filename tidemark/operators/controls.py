@@ -32,11 +32,10 @@ def buyhold(paths: DataFrame, weight: Column, cost: float = COST, keys=KEYS) ->
     """keys, t, v, w, paid, trades: all invested at t = 0, brought to `weight` at the first open, no trades after."""
     whole = Window.partitionBy(*keys)
     c0, o1 = F.max(F.when(F.col("t") == 0, F.col("c"))).over(whole), F.max(F.when(F.col("t") == 1, F.col("o"))).over(whole)
-    sold = F.greatest(1 - weight, F.lit(0.0)) * F.col("o1") / F.col("c0")
-    out = paths.withColumns({"c0": c0, "o1": o1}).withColumn("x", sold)
-    held, traded = F.least(weight, F.lit(1.0)) / F.col("c0") * F.col("c"), F.col("t") >= 1
-    value = F.when(traded, held + F.col("x") * (1 - cost)).otherwise(1.0)
-    return out.select(*keys, "t", value.alias("v"), F.when(traded, held / value).otherwise(1.0).alias("w"), F.when(traded, cost * F.col("x")).otherwise(0.0).alias("paid"), (traded & (F.col("x") > 0)).cast("int").alias("trades"))
+    out = paths.withColumns({"_c0": c0, "_o1": o1}).withColumn("_sold", F.greatest(1 - weight, F.lit(0.0)) * F.col("_o1") / F.col("_c0"))
+    held, traded = F.least(weight, F.lit(1.0)) / F.col("_c0") * F.col("c"), F.col("t") >= 1
+    value = F.when(traded, held + F.col("_sold") * (1 - cost)).otherwise(1.0)
+    return out.select(*keys, "t", value.alias("v"), F.when(traded, held / value).otherwise(1.0).alias("w"), F.when(traded, cost * F.col("_sold")).otherwise(0.0).alias("paid"), (traded & (F.col("_sold") > 0)).cast("int").alias("trades"))
 
 
 def baseline(paths: DataFrame, keys=KEYS) -> DataFrame:

@@ -9,15 +9,16 @@ from pyspark.sql import types as T
 
 from ..config import REBALANCE_THRESHOLD, TOLERANCE, TRADING_DAYS, Rule
 
-BY_DAY = Window.partitionBy("symbol").orderBy("dt")
+def by_day():
+    return Window.partitionBy("symbol").orderBy("dt")
 
 
-def trailing(n: int) -> Window:
-    return BY_DAY.rowsBetween(1 - n, 0)
+def trailing(n: int):
+    return by_day().rowsBetween(1 - n, 0)
 
 
 def with_log_return(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("r", F.ln("c") - F.lag(F.ln("c")).over(BY_DAY))
+    return bars.withColumn("r", F.ln("c") - F.lag(F.ln("c")).over(by_day()))
 
 
 def with_sigma(bars: DataFrame, n: int) -> DataFrame:
@@ -47,7 +48,7 @@ def with_sigma_target(df: DataFrame, min_defined: int) -> DataFrame:
 
 def with_sigma_target_window(df: DataFrame, min_defined: int) -> DataFrame:
     """The same as a window expression; quadratic in a symbol's length, for checks on small data."""
-    w = BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_day().rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("sigma_tgt", F.when(F.count("sigma").over(w) >= min_defined, F.percentile("sigma", F.lit(0.5)).over(w)))
 
 

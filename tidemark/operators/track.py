@@ -25,11 +25,14 @@ def canonical(columns: dict[str, Column]) -> Column:
     return F.concat_ws("\x1f", *[F.concat(F.lit(f"{k}="), F.coalesce(F.concat(F.lit("'"), v.cast("string")), F.lit("null"))) for k, v in sorted(columns.items())])
 
 
-@F.pandas_udf("string")
-def canonical_json(rows: pd.Series) -> pd.Series:
+def canonical_json(rows: Column) -> Column:
     """Rows given as JSON text in the canonical JSON form: sorted keys, no spaces, ASCII, no NaN. Python, because number
     texts must be those of Python's writer; only for logs that were written in this form."""
-    return rows.map(lambda s: None if s is None else json.dumps(json.loads(s), sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False))
+
+    def write(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: None if s is None else json.dumps(json.loads(s), sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False))
+
+    return F.pandas_udf(write, "string")(rows)
 
 
 def row_hash(canon: Column, previous: Column) -> Column:
@@ -77,7 +80,7 @@ def parse_log(lines: DataFrame, schema: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """seq (from 1) and line of one text file, whole: order is part of a log."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("seq", "line")).select(F.col("seq") + 1, "line").toDF("seq", "line")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 PERIODS = (("1996-01-01", "1998-06-30"), ("1998-07-01", "2001-06-30"))
 KEYS = ["period", "symbol"]
-PATH = Window.partitionBy(*KEYS).orderBy("t")
 
 
 def periods_table(spark: SparkSession, periods=PERIODS) -> DataFrame:

@@ -114,7 +114,7 @@ for _preset in ("v", "f", "vf", "vf75"):
 @query("rebalance_flags", f"{S},{sql.weighted('vf')} SELECT symbol, dt, coalesce(abs(w - lag(w) OVER (PARTITION BY symbol ORDER BY dt)) >= 0.10::double - 1e-9::double, false) AS go FROM wt")
 def rebalance_flags(spark, sf_dir):
     sig = signals.weights(bars(spark, sf_dir), rule("vf"))
-    return sig.select("symbol", "dt", F.coalesce(signals.should_rebalance(F.col("w"), F.lag("w").over(signals.BY_DAY)), F.lit(False)).alias("go"))
+    return sig.select("symbol", "dt", F.coalesce(signals.should_rebalance(F.col("w"), F.lag("w").over(signals.by_day())), F.lit(False)).alias("go"))
 
 
 @query("latest_snapshot", f"""{S},{sql.weighted('vf75')}, x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS k, count(*) OVER (PARTITION BY symbol) AS bars, min(dt) OVER (PARTITION BY symbol) AS first_bar FROM wt)

@@ -60,8 +60,8 @@ dd AS (SELECT cell, max(d) FILTER (period = '{PERIODS[0]}') AS d0, max(d) FILTER
 ww AS (SELECT cell, max(w) FILTER (period = '{PERIODS[0]}') AS w0, max(w) FILTER (period = '{PERIODS[1]}') AS w1 FROM (SELECT cell, period, CASE WHEN count(*) FILTER (h AND member_idx % 2 = 0) > 0 THEN sum(g) FILTER (h AND member_idx % 2 = 0) / count(*) FILTER (h AND member_idx % 2 = 0) END AS w FROM effects GROUP BY 1, 2) GROUP BY 1),
 gr0 AS (SELECT c.*, conf.*, dd.d0, dd.d1, dd.h0, dd.h1, ww.w0, ww.w1, coalesce(defined AND abs(d0) >= min_effect - 1e-9 AND abs(d1) >= min_effect - 1e-9, false) AS big, coalesce(sign(w0) = sign(d0) AND sign(w1) = sign(d0), false) AS agrees
         FROM cells c JOIN conf ON conf.cell = c.name JOIN dd USING (cell) JOIN ww USING (cell)),
-gr AS (SELECT *, CASE WHEN untestable <> '' THEN 'inconclusive' WHEN big AND sign(d0) = sign(d1) AND sign(d0) <> 0 AND agrees THEN 'consistent' WHEN big AND sign(d0) * sign(d1) < 0 THEN 'inconsistent' ELSE 'inconclusive' END AS verdict,
-       CASE WHEN agrees THEN 'passed' ELSE 'failed' END AS subset_check FROM gr0),
+gr AS (SELECT *, CASE WHEN untestable <> '' OR w0 IS NULL OR w1 IS NULL THEN 'inconclusive' WHEN big AND sign(d0) = sign(d1) AND sign(d0) <> 0 AND agrees THEN 'consistent' WHEN big AND sign(d0) * sign(d1) < 0 THEN 'inconsistent' ELSE 'inconclusive' END AS verdict,
+       CASE WHEN w0 IS NULL OR w1 IS NULL THEN 'no informative members' WHEN agrees THEN 'passed' ELSE 'failed' END AS subset_check FROM gr0),
 hm AS (SELECT *, least(1.0::double, max((m - k + 1) * p) OVER (ORDER BY k)) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, ord) AS k, count(*) OVER () AS m FROM gr)),
 graded AS (SELECT *, CASE WHEN verdict = 'consistent' THEN CASE WHEN sign(d0) = sign THEN 'as_predicted' ELSE 'opposite' END END AS direction, p_holm <= 0.05 AS reject FROM hm)"""
 GRADED = f"SELECT ord, name, {r('d0')}, {r('d1')}, {r('w0')}, {r('w1')}, {r('t')}, {r('t_lo')}, {r('t_hi')}, {r('t_sd')}, valid, {r('p')}, {r('p_holm')}, reject, untestable, verdict, direction, subset_check FROM graded"
