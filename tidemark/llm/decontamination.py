@@ -216,4 +216,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_decontamination": op2_decontamination}
-ORACLE_SQL: dict[str, str] = {}
+#: The same result by joins of windows written out as text.
+ORACLE_SQL = {
+    "op2_decontamination": r"""
+WITH folded AS (SELECT *, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+                FROM (SELECT 'd' AS kind, row_number() OVER () AS rid, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), CAST(item_id AS VARCHAR), text FROM benchmark)),
+items AS (SELECT id, ws, least(10, len(ws)) AS size FROM folded WHERE kind = 'b' AND len(ws) > 0),
+windows AS (SELECT DISTINCT id, size, array_to_string(ws[p:p + size - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS p FROM items)),
+docs AS (SELECT rid, CAST(id AS BIGINT) AS doc_id, ws FROM folded WHERE kind = 'd'),
+places AS (SELECT rid, size, p, array_to_string(ws[p:p + size - 1], ' ') AS win FROM (SELECT rid, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM docs, (SELECT DISTINCT size FROM windows))),
+hits AS (SELECT rid, size, p, id FROM places JOIN windows USING (size, win)),
+words AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + size)) AS q FROM hits) GROUP BY 1),
+found AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, id FROM hits WHERE id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)""",
+}

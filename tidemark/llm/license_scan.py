@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, ROW, ascii_lower, keyed, load
+from .common import LOWER, NON_ALNUM, ROW, UPPER, ascii_lower, keyed, load
 
 #: The phrases whose exact places are counted, and their labels.
 BASE = (
@@ -117,4 +117,27 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_license_scan": op4_license_scan}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def oracle() -> str:
+    """The same in SQL, over gram texts in place of hashes."""
+    rows = []
+    for t, (phrase, label, exact) in enumerate([(*x, "true") for x in BASE] + [(*x, "false") for x in TEMPLATES]):
+        w, k = phrase.split(), gram_size(phrase)
+        rows += [f"('{' '.join(w[q : q + k])}', {t}, {q}, {1 << q}::bigint, {len(w) - k + 1}, {len(w)}, {exact}, '{label}')" for q in range(len(w) - k + 1)]
+    return rf"""
+WITH grams(g, template, q, bit, grams, size, exact, label) AS (VALUES {", ".join(rows)}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+each AS (SELECT rid, p - 1 AS p, unnest([array_to_string(ws[p:p + 1], ' '), array_to_string(ws[p:p + 2], ' ')]) AS g FROM (SELECT *, unnest(range(1, len(ws))) AS p FROM docs)),
+found AS (SELECT rid, template, grams, size, exact, label, p - q AS diagonal, bit_or(bit) AS mask FROM each JOIN grams USING (g) GROUP BY ALL),
+base AS (SELECT rid, diagonal AS start, label, 1.0::double AS covered FROM found WHERE exact AND bit_count(mask) = grams),
+near0 AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {BAND}, true)::int AS fresh FROM found WHERE NOT exact),
+near1 AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS band FROM near0),
+near AS (SELECT rid, label, bit_count(bit_or(mask)) / grams::double AS covered FROM near1 GROUP BY rid, template, band, label, grams),
+spans AS (SELECT rid, start, label, covered, true AS exact FROM base UNION ALL SELECT rid, NULL, label, covered, false FROM near WHERE covered >= {COVERAGE}::double),
+per AS (SELECT rid, count(*) FILTER (exact) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score FROM spans GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::double) AS score
+FROM docs LEFT JOIN per USING (rid)"""
+
+
+ORACLE_SQL = {"op4_license_scan": oracle()}
