@@ -248,6 +248,10 @@ def slow_quality(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(again), len(w) < 10 or 100 * len(again) > 20 * len(w)
 
 
+def held_back(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
 def slow_scores(all_rows, trusted, buckets):
     def places(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -264,18 +268,18 @@ def slow_scores(all_rows, trusted, buckets):
     for i, t, *_ in all_rows:
         for b in places(t):
             raw[b] += 1
-            target[b] += i in trusted
+            target[b] += i in trusted and not held_back(i)
     ratio = np.round(np.log(target / target.sum()) - np.log(raw / raw.sum()), 6)
     return lambda t: float(ratio[places(t)].sum() / (len(places(t)) + quality.PRIOR)) if places(t) else 0.0
 
 
 def test_quality_matches_brute_force(spark, docs, empty):
-    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (14, 0, 0), (16, 1, 0), (9, 1, 0), (9, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (14, 0, 0), (16, 1, 0), (12, 1, 0), (9, 1, 0), (9, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     out = quality.judge(docs, labels, buckets=512).collect()
-    own = slow_scores(rows(), {0, 3, 16}, 512)
+    own = slow_scores(rows(), {0, 3, 12, 16}, 512)
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out) == Counter((i, *slow_quality(t)) for i, t, *_ in rows())
-    trusted = [own(t) for i, t, *_ in rows() if i in (0, 3, 16)]
-    threshold = np.mean(trusted) - quality.SPREAD * np.std(trusted)
+    back = [own(t) for i, t, *_ in rows() if i in {0, 3, 12, 16} and held_back(i)]
+    threshold = np.mean(back) - quality.SPREAD * np.std(back) if back else -np.inf
     texts = {(i, len(t or "")): t for i, t, *_ in rows()}
     for r in out:
         t = texts[r.doc_id, len(r.text or "")]
