@@ -422,11 +422,12 @@ def test_level_minimises_the_sum_of_squares():
 
 
 # ---------------------------------------------------------------- 9
-def test_language_id_learns_and_predicts(spark, docs, empty):
+def test_language_id_learns_and_predicts(spark, docs, empty, monkeypatch):
     say = {"en": "the and of to in that with from this have", "fr": "le la les des une dans pour que avec est", "de": "der die und das nicht ein mit auf sich den"}
     rng = np.random.default_rng(1)
     made = [(i, " ".join(rng.choice(say[k].split(), 40)), k) for i, k in enumerate(list(say) * 30)]
     df = spark.createDataFrame(made + [(500, None, "en"), (501, "12 34 !", None), (502, "", "fr"), (503, "the and of", None)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "LANGUAGES_HELD", 2)
     profiles = language_id.learn(df.where("doc_id % 5 <> 0"))
     assert set(profiles) == set(say)
     out = {r.doc_id: r for r in language_id.identify(df, profiles).collect()}

@@ -26,6 +26,8 @@ from .common import load, worker_state
 
 TOP = 400
 FOLDS = 5
+#: Languages whose counts a task holds at once; more are passed on in parts, which the sum by gram puts together.
+LANGUAGES_HELD = 32
 #: Gram codes: letters, then pairs, then triples of 6-bit codes.
 PAIRS, TRIPLES, CODES = 64, 64 + 4096, 64 + 4096 + 262_144
 
@@ -71,8 +73,17 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = letter_codes(), {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for own, n in total.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["lang", "gram", "n"])
+            total.clear()
+
         for batch in batches:
             for own, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if own not in total and len(total) >= LANGUAGES_HELD:
+                    yield from flush()
                 codes = grams(x.as_py(), table)
                 n = total.setdefault(own, np.zeros(CODES, np.int64))
                 if len(codes) < 20_000:
@@ -80,9 +91,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP)
                     n[code] += k
                 else:
                     n += np.bincount(codes, minlength=CODES)
-        for own, n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([own] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["lang", "gram", "n"])
+        yield from flush()
 
     known = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
