@@ -1,16 +1,15 @@
-"""Command line: `python -m tidemark.cli SYMBOL... --bars PATH`, `evidence`, `verify`."""
+"""Command line: `python -m tidemark.cli snapshot SYMBOL... --bars PATH`, `evidence`, `append LOG`, `verify LOG`."""
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 import sys
 
-from pyspark.sql import functions as F
-
-from . import __version__, api
+from . import __version__, api, journal
 from .config import ANCHOR, MED_MIN, PRESETS, SIG_N, SMA_N, UNSET, parse_floor, rule
-from .operators import track
+from .operators import evidence
 from .session import session
 from .sources import bars, remote
 
@@ -31,21 +30,46 @@ def parser() -> argparse.ArgumentParser:
         own.add_argument("--format", choices=("table", "json", "markdown"), default="table")
         if name == "snapshot":
             own.add_argument("--bars", default=None, help="a folder of CSV files by symbol, or a Parquet table")
+    own = kinds.add_parser("append")
+    own.add_argument("log", help="the forward log, a Parquet table")
+    own.add_argument("--bars", default=None)
+    own.add_argument("--today", type=dt.date.fromisoformat, required=True, help="New York date")
+    own.add_argument("--symbols", nargs="+", default=list(evidence.UNIVERSE))
+    own.add_argument("--anchor", default=ANCHOR)
     own = kinds.add_parser("verify")
-    own.add_argument("log", help="a Parquet log with seq, canon, prev_hash, row_hash")
-    own.add_argument("--unique", nargs="+", required=True)
+    own.add_argument("log")
+    own.add_argument("--prefix-of", default=None, help="an older copy that must be the log's beginning")
     return top
 
 
+def stored_bars(spark, folder: str | None):
+    """A folder of CSV files by symbol, or a Parquet table."""
+    place = folder or remote.default_folder()
+    try:
+        tabular = spark.read.format("binaryFile").load(f"{place}/*.csv").isEmpty()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        tabular = True
+    return bars.read_table(spark, place) if tabular else bars.read_csv(spark, place)
+
+
 def main(argv: list[str] | None = None) -> int:
     top = parser()
     a = top.parse_args(argv)
     if a.command == "verify":
+        report = journal.verify(session(), a.log, a.prefix_of)
+        print(json.dumps(report))
+        return int(report["error"] is not None or report.get("is_prefix") is False)
+    if a.command == "append":
         spark = session()
-        rows = spark.read.parquet(a.log).withColumn("_log", F.lit(0))
-        bad = track.verify(rows, ["_log"], a.unique).collect()
-        print(json.dumps({"rows": rows.count(), "error": f"line {bad[0]['line']}: {bad[0]['error']}" if bad else None}))
-        return int(bool(bad))
+        try:
+            done = journal.append(stored_bars(spark, a.bars), a.log, a.today, [s.upper() for s in a.symbols], rule(anchor=a.anchor))
+        except journal.Refused as e:
+            print(f"refused: {e}", file=sys.stderr)
+            return 1
+        print(json.dumps({"asof": str(done["asof"]), "deadline": done["deadline"], "appended": len(done["rows"]), "stale": done["stale"]}, default=str))
+        return 0
     try:
         own = rule(a.preset, vol_floor=a.vol_floor, below_sma=a.below_sma, anchor=a.anchor, sig_n=a.sig_n, med_min=a.med_min, sma_n=a.sma_n)
     except ValueError as e:
@@ -54,14 +78,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "evidence":
         print(json.dumps(api.evidence_block(spark, own, a.symbols), indent=2))
         return 0
-    place = a.bars or remote.default_folder()
-    try:
-        data = bars.read_table(spark, place) if spark.read.format("binaryFile").load(f"{place}/*.csv").isEmpty() else bars.read_csv(spark, place)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        data = bars.read_table(spark, place)
-    rows = [r.asDict() for r in api.snapshot(data, a.symbols, own).collect()]
+    rows = [r.asDict() for r in api.snapshot(stored_bars(spark, a.bars), a.symbols, own).collect()]
     asof = max((str(r["date"]) for r in rows if r["date"]), default=None)
     print(api.render(rows, api.evidence_block(spark, own, [s.upper() for s in a.symbols], asof), a.format))
     return int(any(r["error"] for r in rows))
