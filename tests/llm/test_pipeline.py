@@ -98,3 +98,42 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         load(spark, sf, name).limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_finds_all_similar_pairs(spark):
+    """Edited copies with a five-word Jaccard similarity of 0.8 or more go, far though their fingerprints are."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "a few words", "A  few\nwords", "a few words more"]
+    for n in (30, 60, 200, 400):
+        for _ in range(12):
+            base = rng.choice(words, n).tolist()
+            texts.append(" ".join(base))
+            for edits in (1, 2, n // 60, n // 45, n // 30):
+                copy = list(base)
+                for k in rng.choice(n, edits, replace=False):
+                    copy[k] = str(rng.choice(words))
+                texts.append(" ".join(copy))
+    line = " ".join(rng.choice(words, 12))  # a common line joins nothing
+    texts += [" ".join(rng.choice(words, 20)) + " " + line for _ in range(120)]
+    base = rng.choice(words, 200).tolist()  # a large group
+    texts += [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 200, 2)]
+
+    def shingles(t):
+        w = fold(t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    far = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both >= 0.8 * (len(x) + len(sets[j]) - both):
+                far += bin(slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[j])).count("1") > 2
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert far > 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))

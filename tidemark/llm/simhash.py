@@ -16,6 +16,14 @@ each round.
 
 Null or empty texts have fingerprint zero and are linked like any other. Repeated rows get equal results. Rows with a
 null doc_id take part; `component_id` is the least non-null doc_id of the component, null if there is none.
+
+With a `similarity` (the pipeline's stage: 0.8 on five words), documents are linked if the Jaccard similarity of their
+sets of shingles is that or more, however many bits their fingerprints differ in; `fp` is then a hash of the set, and
+texts without words are linked. No Hamming budget finds all such pairs, so candidates come from a prefix filter, which
+loses none: with one order of all shingles, two such sets share one of the first n - ceil(similarity * n) + 1 of each.
+Any order is right; shingles that several prefixes by hash share come late in it, so that few documents meet.
+Of documents that meet, each is compared with a center first; what that has joined is not compared with itself again,
+all other pairs are. Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,21 +45,32 @@ BLOCK_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 NODE_ROWS = 2048
 #: Node pairs that are held at once while going down.
 FRONTIER = 500_000
+#: Bits that mark shingles as shared or sets as candidates; too few cost time, not links.
+MARKS = 1 << 26
+NEAR = 1e-9
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles, repeats included; a shorter text is one shingle, a text without words none."""
     import xxhash
 
     words = text.encode("utf-8").lower().split() if text else []  # bytes: only A-Z, only 0x20 and 0x09-0x0D
     n = len(words) - size + 1
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if n <= 1:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     start = np.concatenate([[0], end[:-1] + 1])
-    h = np.fromiter([digest(joined[a:b], 42) for a, b in zip(start[:n].tolist(), end[size - 1 :].tolist())], np.uint64, n)
+    return np.fromiter([digest(joined[a:b], 42) for a, b in zip(start[:n].tolist(), end[size - 1 :].tolist())], np.uint64, n)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    h = shingles(text, size)
+    n = len(h)
+    if n <= 1:
+        return int(h[0]) if n else 0
     votes = np.zeros(64, np.int64)
     for i in range(0, n, 65_536):
         votes += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -216,47 +235,164 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(df: DataFrame, text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """doc_id, fp, fingerprint (hex), component_id, root (a fingerprint that names the component): one row for each row of df."""
-    fps = materialise(fingerprints(df, text), "fingerprints")
+def set_of(text: str | None, size: int) -> tuple[int, np.ndarray]:
+    """A signed hash of the text's set of shingles (0 if it is empty), and the set in order."""
+    import xxhash
+
+    grams = np.unique(shingles(text, size)).view(np.int64)
+    key = xxhash.xxh64_intdigest(grams.tobytes(), 42) if len(grams) else 0
+    return key - (key >> 63 << 64), grams
+
+
+def shingle_sets(df: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the hash of the set) and grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                fp, grams = zip(*[set_of(x.as_py(), size) for x in part.column(1)])
+                ends = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams), pa.int64()))], names=["doc_id", "fp", "grams"])
+
+    return df.select(F.col("doc_id").cast("long"), df[text]).mapInArrow(run, "doc_id long, fp long, grams array<long>")
+
+
+def marks(df: DataFrame, name: str) -> np.ndarray:
+    """Bits, packed, that are set where a number of the column falls; other numbers may fall there too."""
+    place = F.col(name).bitwiseAND(MARKS - 1)
+    parts = df.groupBy(F.shiftright(place, 15).alias("k")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits")).collect()
+    out = np.zeros((MARKS >> 15, 4096), np.uint8)
+    for part in parts:
+        out[part["k"]] = np.frombuffer(part["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def marked(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    place = numbers & (MARKS - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def prefixes(sets: DataFrame, similarity: float, late: np.ndarray | None = None) -> DataFrame:
+    """fp, n (the set's size) and gram: the first shingles of each set by hash, those marked in `late` after all others."""
+    sent = sets.sparkSession.sparkContext.broadcast(late)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                fp, flat = part.column(0).to_numpy(), part.column(1).flatten().to_numpy()
+                n = part.column(1).value_lengths().to_numpy().astype(np.int64)
+                set_ = np.repeat(np.arange(len(n)), n)
+                if sent.value is not None:
+                    flat = flat[np.lexsort((marked(sent.value, flat), set_))]  # stable: by hash within both
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                on = at < (n - np.ceil(similarity * n - NEAR).astype(np.int64) + 1)[set_]
+                columns = [pa.array(fp[set_[on]], pa.int64()), pa.array(n[set_[on]], pa.int32()), pa.array(flat[on], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "gram"])
+
+    return sets.select("fp", "grams").mapInArrow(run, "fp long, n int, gram long")
+
+
+def only_marked(sets: DataFrame, bits: np.ndarray) -> DataFrame:
+    sent = sets.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(sent.value, batch.column(0).to_numpy())))
+
+    return sets.select("fp", "grams").mapInArrow(run, "fp long, grams array<long>")
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between set hashes that join all sets of this Jaccard similarity or more, and no others."""
+    group = Window.partitionBy("gram")
+    late = marks(prefixes(sets, similarity).groupBy("gram").count().where("count > 1"), "gram")
+    rows = prefixes(sets, similarity, late)
+    rows = rows.withColumns({"lo": F.min("fp").over(group), "hi": F.max("fp").over(group)}).where("lo <> hi").drop("lo", "hi")
+    rows = materialise(rows.dropDuplicates(["gram", "fp"]), "shared")
+    own = only_marked(sets, marks(rows, "fp"))
+    own = materialise(own.join(rows.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "grams"), "sets")
+
+    def sizes_fit(m: Column, n: Column) -> Column:
+        return F.least(m, n) >= similarity * F.greatest(m, n) - NEAR
+
+    def verified(p: tuple[Column, Column], q: tuple[Column, Column], met: DataFrame) -> DataFrame:
+        """Links among the pairs that met, once for each shared shingle; p and q: hash and size of each set.
+
+        What two sets share outside both prefixes lies behind the prefix that ends first, so few common ones rule a pair out.
+        """
+        pairs = met.select(F.least(p[0], q[0]).alias("a"), F.greatest(p[0], q[0]).alias("b"), (p[1] + q[1]).alias("sum"), F.greatest(p[1], q[1]).alias("more"))
+        pairs = pairs.groupBy("a", "b", "sum", "more").count()
+        pairs = pairs.where(F.col("count") + F.ceil(similarity * F.col("more") - NEAR) - 1 >= similarity / (1 + similarity) * F.col("sum") - NEAR).select("a", "b")
+        pairs = pairs.join(own.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return materialise(pairs.where(both >= similarity * (F.size("x") + F.size("y") - both) - NEAR).select("a", "b"), "links")
+
+    edges, named = None, rows.withColumn("label", F.col("fp"))
+    for salt in range(2):
+        center = named.groupBy("gram").agg(F.min_by(F.struct("fp", "n", "label"), F.xxhash64(F.lit(salt), "fp")).alias("c"))
+        pairs = named.join(center, "gram").where((F.col("label") != F.col("c.label")) & sizes_fit(F.col("n"), F.col("c.n")))
+        found = verified((F.col("fp"), F.col("n")), (F.col("c.fp"), F.col("c.n")), pairs)
+        edges = found if edges is None else edges.unionByName(found)
+        named = materialise(rows.join(components(edges), rows["fp"] == F.col("node"), "left").select("gram", "fp", "n", F.coalesce("root", "fp").alias("label")), "named")
+    most = named.groupBy("gram").agg(F.mode("label").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "most")
+    named = materialise(named.join(most, "gram"), "apart")
+    x, y = named.where("label <> most").alias("x"), named.alias("y")
+    fits = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.most")) | (F.col("x.fp") < F.col("y.fp"))) & sizes_fit(F.col("x.n"), F.col("y.n"))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & fits)
+    return edges.unionByName(verified((F.col("x.fp"), F.col("x.n")), (F.col("y.fp"), F.col("y.n")), met))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", budget: int = BUDGET, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp, fingerprint (hex), component_id, root (a fingerprint that names the component): one row for each row of df.
+
+    Links are those of `budget` bits, or with `similarity` those of the Jaccard similarity; `size`: words of its shingles.
+    """
+    if similarity is None:
+        fps = materialise(fingerprints(df, text), "fingerprints")
+    else:
+        sets = materialise(shingle_sets(df, text, size), "shingles")
+        fps = sets.select("doc_id", "fp")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp"), budget))
+    roots = components(links(distinct.select("fp"), budget) if similarity is None else similar_links(sets, similarity))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialise(named.join(least, "root").select("fp", "root", "component_id"), "components")
     return fps.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def keep_one(df: DataFrame, text: str = "text", budget: int = BUDGET) -> DataFrame:
+def keep_one(df: DataFrame, text: str = "text", budget: int = BUDGET, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """df with one row of each component: the one with its least doc_id (of rows that repeat it, one).
 
     Of a component without any doc_id, one of the rows with its least fingerprint stays. Names that start with `_sh_`
     are reserved.
     """
-    found = materialise(near_duplicates(df.select("doc_id", text), text, budget), "near")
+    found = materialise(near_duplicates(df.select("doc_id", text), text, budget, size, similarity), "near")
     first = found.where(F.col("doc_id") == F.col("component_id"))
     # a doc_id that several texts share is settled by doc_id and fingerprint; these rows are fingerprinted again
     shared = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id"), "shared")
     kept = first.join(shared, "doc_id", "left_anti").select("doc_id").distinct()
     out = df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*df.columns)
     if not shared.isEmpty():
-        own = with_fingerprint(df.join(shared, "doc_id", "left_semi").select(*df.columns), text)
+        own = with_fingerprint(df.join(shared, "doc_id", "left_semi").select(*df.columns), text, size, similarity)
         pairs = first.select("doc_id", F.col("fp").alias("_sh_fp")).distinct()
         out = out.unionByName(own.join(pairs, ["doc_id", "_sh_fp"], "left_semi").dropDuplicates(["doc_id"]).select(*df.columns))
     unnamed = found.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("fp").alias("_sh_fp")).select("_sh_fp")
     if not unnamed.isEmpty():
-        own = with_fingerprint(df.where(F.col("doc_id").isNull()), text)
+        own = with_fingerprint(df.where(F.col("doc_id").isNull()), text, size, similarity)
         out = out.unionByName(own.join(unnamed, "_sh_fp", "left_semi").dropDuplicates(["_sh_fp"]).select(*df.columns))
     return out
 
 
-def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with its fingerprint as column _sh_fp."""
+def with_fingerprint(df: DataFrame, text: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """df with its fingerprint, or with `similarity` the hash of its set of shingles, as column _sh_fp."""
     columns = df.columns
+    of = (lambda x: fingerprint(x)) if similarity is None else (lambda x: set_of(x, size)[0] % 2**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py()) for x in batch.column(columns.index(text))], np.uint64).view(np.int64)
+            fp = np.array([of(x.as_py()) for x in batch.column(columns.index(text))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=[*columns, "_sh_fp"])
 
     return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("_sh_fp", T.LongType())]))
