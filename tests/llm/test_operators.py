@@ -210,6 +210,27 @@ def test_url_model_is_a_distribution():
     assert score.shape == (3,) and not score.any()
 
 
+def test_url_model_grows_with_its_n_grams(spark):
+    """Far more distinct n-grams than the least table has places: two kinds of random hosts are still told apart."""
+    rng = np.random.default_rng(5)
+    letters, p = np.array(list("abcdefghijklmnopqrstuvwxyz")), np.linspace(1, 4, 26)
+    urls = lambda kind, n: ["http://" + "".join(rng.choice(letters, 14, p=(p if kind else p[::-1]) / p.sum())) for _ in range(n)]
+    learn = [(u, k) for k in (0, 1) for u in urls(k, 15_000)]
+    counts = url_filter.count(spark.createDataFrame(learn, "url string, allow int"))
+    code, lengths = url_filter.symbols([u for u, _ in learn])
+    grams, _ = url_filter.hashes(code, lengths)
+    assert len(np.unique(grams[-1])) > 5 * url_filter.BUCKETS and counts.shape[1] // (2 * (url_filter.ORDER + 1)) >= 2 * len(np.unique(grams[-1]))
+    fresh = urls(0, 1000), urls(1, 1000)
+
+    def auc(counts):
+        bad, good = (url_filter.log_ratio(counts, u) for u in fresh)
+        return (good[:, None] > bad[None, :]).mean()
+
+    table = spark.createDataFrame(learn, "url string, allow int")
+    own, wide, least = auc(counts), auc(url_filter.count(table, 1 << 22)), auc(url_filter.count(table, url_filter.BUCKETS))
+    assert abs(own - wide) < 0.03 and own > least + 0.1, (own, wide, least)  # as good as a table almost without collisions
+
+
 # ---------------------------------------------------------------- 4
 def test_license_base_matches_brute_force(spark, docs, empty):
     out = license_scan.scan(docs)

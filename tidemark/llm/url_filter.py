@@ -4,8 +4,9 @@ Two variable-order Markov models, one for accepted and one for rejected URLs, gi
 their difference, divided by its length, reaches a calibrated threshold. The models are learned from the URLs that the
 rules decide, four fifths by hash of the URL; the threshold is the one of a fixed grid that has the best balanced
 accuracy on the last fifth. The models mix orders 0 to `ORDER`: an order's estimate is its count plus `PRIOR` times the
-lower order's probability, over the context's count plus `PRIOR`. Counts are hashed to `BUCKETS` per order, so the tables
-that the driver gathers and the tasks get have a fixed size.
+lower order's probability, over the context's count plus `PRIOR`. Counts are hashed to tables of at least `BUCKETS` places
+per order; their size is `ROOM` times the most distinct n-grams of an order (measured, to a few percent) or more, so that
+few share a place, however many there are.
 
 Null URLs and URLs without `://` have empty host and path; null is scored as an empty text. Without rule-decided URLs
 of both kinds every score is 0 and the threshold 0 (allow). Repeated URLs count each time. Extra columns are kept apart
@@ -28,6 +29,7 @@ from .common import LOWER, UPPER, load
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 4
 BUCKETS = 1 << 14
+ROOM = 4
 PRIOR = 4.0
 SYMBOLS = 128
 #: Histogram of scores for the threshold: `BINS` bins of `STEP` around 0.
@@ -64,8 +66,8 @@ def symbols(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.array([len(u) + 1 for u in texts], np.int64)
 
 
-def slots(code: np.ndarray, lengths: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order, the table places of each position's symbol with its context, and of the context alone."""
+def hashes(code: np.ndarray, lengths: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order, hashes of each position's symbol with its context, and of the context alone."""
     end = np.cumsum(lengths + ORDER)
     at = np.ones(len(code), bool)
     for k in range(ORDER):
@@ -77,32 +79,49 @@ def slots(code: np.ndarray, lengths: np.ndarray) -> tuple[list[np.ndarray], list
             h = (h + code[pos - n].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
         both = (h ^ (code[pos].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
-        grams.append((2 * n * BUCKETS + ((both >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)))
-        contexts.append(((2 * n + 1) * BUCKETS + ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)))
+        grams.append(both ^ both >> np.uint64(32))
+        contexts.append(h ^ h >> np.uint64(32))
     return grams, contexts
 
 
+def slots(code: np.ndarray, lengths: np.ndarray, buckets: int = BUCKETS) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order, the table places of each position's symbol with its context, and of the context alone."""
+    places = [[(2 * n + k) * buckets + (h % np.uint64(buckets)).astype(np.int64) for n, h in enumerate(own)] for k, own in enumerate(hashes(code, lengths))]
+    return places[0], places[1]
+
+
 SLOTS = 2 * (ORDER + 1) * BUCKETS
 
 
-def count(df: DataFrame) -> np.ndarray:
+def buckets_for(df: DataFrame) -> int:
+    """A power of two with room for the distinct n-grams of the highest order in the frame's column url."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, _ = hashes(*symbols(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(grams[-1]).view(np.int64), pa.int64())], names=["gram"])
+
+    distinct = df.select("url").mapInArrow(run, "gram long").agg(F.approx_count_distinct("gram", 0.02)).first()[0]
+    return max(BUCKETS, 1 << (ROOM * distinct - 1).bit_length()) if distinct else BUCKETS
+
+
+def count(df: DataFrame, buckets: int | None = None) -> np.ndarray:
     """Counts by verdict (0 block, 1 allow) and place, of a frame of (url, allow)."""
+    buckets = buckets or buckets_for(df)
+    size = 2 * (ORDER + 1) * buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * SLOTS, np.int64)
         for batch in batches:
             code, lengths = symbols(batch.column(0).to_pylist())
-            allow = np.repeat(batch.column(1).to_numpy().astype(np.int64), lengths) * SLOTS
-            grams, contexts = slots(code, lengths)
-            for x in (*grams, *contexts):
-                total += np.bincount(x + allow, minlength=2 * SLOTS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["place", "n"])
-
-    table = df.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * SLOTS, np.float32)
+            allow = np.repeat(batch.column(1).to_numpy().astype(np.int64), lengths) * size
+            grams, contexts = slots(code, lengths, buckets)
+            some, n = np.unique(np.concatenate([x + allow for x in (*grams, *contexts)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n, pa.int64())], names=["place", "n"])
+
+    table = df.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(2 * size, np.float32)
     out[table["place"].to_numpy()] = table["n"].to_numpy()
-    return out.reshape(2, SLOTS)
+    return out.reshape(2, size)
 
 
 def log_ratio(counts: np.ndarray, urls: list[str | None]) -> np.ndarray:
@@ -110,7 +129,7 @@ def log_ratio(counts: np.ndarray, urls: list[str | None]) -> np.ndarray:
     if not len(urls):
         return np.zeros(0)
     code, lengths = symbols(urls)
-    grams, contexts = slots(code, lengths)
+    grams, contexts = slots(code, lengths, counts.shape[1] // (2 * (ORDER + 1)))
     logs = []
     for own in counts:
         p = np.full(len(grams[0]), 1.0 / SYMBOLS)
