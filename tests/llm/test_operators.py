@@ -314,58 +314,62 @@ def test_quality_matches_brute_force(spark, docs, empty):
 
 
 # ---------------------------------------------------------------- 6
-def slow_runs(all_rows, least):
-    """Lines that stand in a run of `least` words which a row before, or the text before, holds."""
+def slow_runs(all_rows, run_lines=1):
+    """Places of lines in runs of `run_lines` lines that a row before, or the text before, holds."""
     word, seen, out = re.compile(r"[^\x20\x09-\x0D]+"), set(), {}
     distinct = {(i is None, i or 0, t): t for i, t, *_ in all_rows if t}
     order = sorted(distinct, key=lambda k: (k[0], k[1], (lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64_intdigest(k[2].encode(), 42))))
     for key in order:
-        lines = [(n, x.strip(" \t\n\x0b\x0c\r"), len(word.findall(x))) for n, x in enumerate(distinct[key].split("\n")) if word.search(x)]
+        lines = [(n, x.strip(" \t\n\x0b\x0c\r")) for n, x in enumerate(distinct[key].split("\n")) if word.search(x)]
         gone = set()
-        for i in range(len(lines)):
-            words = 0
-            for j in range(i, len(lines)):
-                words += lines[j][2]
-                run = tuple(x for _, x, _ in lines[i : j + 1])
-                if words >= least:
-                    if run in seen:
-                        gone.update(n for n, _, _ in lines[i : j + 1])
-                    seen.add(run)
+        for i in range(len(lines) - run_lines + 1):
+            run = tuple(x for _, x in lines[i : i + run_lines])
+            if run in seen:
+                gone.update(n for n, _ in lines[i : i + run_lines])
+            seen.add(run)
         out[key] = gone
     return out
 
 
-def test_line_dedup_deletes_repeated_runs(spark, docs, empty):
+def without(text, gone):
+    """The text without its lines at these places."""
+    return "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
+
+
+@pytest.mark.parametrize("run_lines,gram_lines", [(1, 1), (2, 1), (3, 2), (4, 4)])
+def test_line_dedup_equals_brute_force(spark, docs, empty, run_lines, gram_lines):
     rng = np.random.default_rng(5)
-    pool = [" ".join(f"w{rng.integers(0, 60)}" for _ in range(rng.integers(3, 40))) for _ in range(30)]
+    pool = [" ".join(f"w{rng.integers(0, 60)}" for _ in range(rng.integers(1, 40))) for _ in range(30)]
     more = [(100 + k, "\n".join(["", *(pool[i] for i in np.concatenate([np.arange(a, min(a + 5, 30)), rng.integers(0, 30, 3)])), " "])) for k, a in enumerate(rng.integers(0, 30, 40))]
     every = [(i, t) for i, t, *_ in rows()] + more
     df = spark.createDataFrame([(i, t, t) for i, t in every], "doc_id long, text string, was string")
-    must, may = slow_runs(every, line_dedup.GUARANTEE_WORDS), slow_runs(every, line_dedup.GRAM_WORDS)
-    assert sum(map(len, must.values())) > 30
-    found = line_dedup.dedup_lines(df).collect()
+    gone = slow_runs(every, run_lines)
+    assert sum(map(len, gone.values())) > 30
+    options = {"run_lines": run_lines, "gram_lines": gram_lines}
+    found = line_dedup.dedup_lines(df, **options).collect()
     assert len(found) == len(every)
     for r in found:
         if not r.was:
             assert r.text == r.was and r.n_deleted == 0
             continue
-        key, lines = (r.doc_id is None, r.doc_id or 0, r.was), r.was.split("\n")
-        left = Counter(lines) - Counter(r.text.split("\n")) if r.n_deleted < len(lines) else Counter(lines)
-        assert sum(left.values()) == r.n_deleted and r.n_lines == len(lines)
-        assert not Counter(lines[x] for x in must[key]) - left, key[:2]
-        assert not left - Counter(lines[x] for x in may[key]), key[:2]
-    assert line_dedup.dedup_lines(empty).count() == 0
-    assert {r.text for r in line_dedup.dedup_lines(df).where("doc_id in (4, 5)").collect()} == {None, ""}
-    same = line_dedup.dedup_lines(docs, counts=False, length="n_chars")
+        own = gone[r.doc_id is None, r.doc_id or 0, r.was]
+        assert (r.text, r.n_lines, r.n_deleted) == (without(r.was, own), len(r.was.split("\n")), len(own)), r.doc_id
+    assert line_dedup.dedup_lines(empty, **options).count() == 0
+    same = line_dedup.dedup_lines(docs, counts=False, length="n_chars", **options)
     assert same.columns == docs.columns and same.count() == docs.count()
     kept_columns(same)
 
 
 def test_line_dedup_keeps_the_first_copy(spark):
     passage = "\n".join(" ".join(f"p{k}_{i}" for i in range(20)) for k in range(4))
-    rows_ = [(1, "intro line of one\n" + passage), (2, passage + "\nouttro line of two"), (3, "before\n\n" + passage + "\nafter"), (4, "a short line"), (5, "a short line")]
-    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
-    assert out == {1: rows_[0][1], 2: "outtro line of two", 3: "before\n\nafter", 4: "a short line", 5: "a short line"}
+    rows_ = [(1, "intro line of one\n" + passage), (2, passage + "\nouttro line of two"), (3, "before\n\n" + passage + "\nafter"), (4, "a short line"), (5, "a  short line\n a short line\t")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert out == {1: rows_[0][1], 2: "outtro line of two", 3: "before\n\nafter", 4: "a short line", 5: "a  short line"}
+    named = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(named).collect()} == {f"d{i}": t for i, t in out.items()}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df, run_lines=1, gram_lines=2)
 
 
 # ---------------------------------------------------------------- 7, 8

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII upper-case letters and their lower-case forms, for rules that fold only A-Z.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,10 +25,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder every executor can read: spark.checkpoint.dir. Where none is set, a temporary one on a local master
+    (tests), and an error on a cluster, whose executors could not read it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -35,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or earlier by discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
@@ -46,6 +51,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Deletes what materialise() wrote for these frames. They and what was made of them lazily cannot be read again."""
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = jvm.org.apache.hadoop.fs.Path(file)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker, over all its tasks."""
     import sys
@@ -74,8 +88,11 @@ ROW = ["_row_none", "_row_id", "_row_hash"]
 
 
 def keyed(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the ROW columns, none of them null."""
-    return df.withColumns({"_row_none": F.col("doc_id").isNull(), "_row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row_hash": F.coalesce(F.xxhash64(text), F.lit(0))})
+    """df with the ROW columns, none of them null. Ids that are neither numbers nor texts are ordered as texts."""
+    kind = df.schema["doc_id"].dataType
+    own = F.col("doc_id").cast("long") if isinstance(kind, T.IntegralType) else F.col("doc_id") if isinstance(kind, T.NumericType) else F.col("doc_id").cast("string")
+    nothing = F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("")
+    return df.withColumns({"_row_none": F.col("doc_id").isNull(), "_row_id": F.coalesce(own, nothing), "_row_hash": F.coalesce(F.xxhash64(text), F.lit(0))})
 
 
 def set_aside(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
