@@ -22,8 +22,11 @@ sets of shingles is that or more, however many bits their fingerprints differ in
 texts without words are linked. No Hamming budget finds all such pairs, so candidates come from a prefix filter, which
 loses none: with one order of all shingles, two such sets share one of the first n - ceil(similarity * n) + 1 of each.
 Any order is right; shingles that several prefixes by hash share come late in it, so that few documents meet.
-Of documents that meet, each is compared with a center first; what that has joined is not compared with itself again,
-all other pairs are. Every candidate is verified on the whole sets.
+Of the documents that meet, shingles that no other of them holds are counted: two sets share no more than what either
+has left, which rules out most documents of a large group of loosely alike ones before any pair is made. Of those that
+stay, each is compared with a center first, the document with the largest part of shared shingles, to which all that
+can be near to any tend to be near; what that has joined is not compared with itself again, all other pairs
+are. Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, materialise
+from .common import discard, load, materialise
 
 SHINGLE = 3
 BUDGET = 2
@@ -85,7 +88,7 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
             fp = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return df.select(F.col("doc_id").cast("long"), df[text]).mapInArrow(run, "doc_id long, fp long")
+    return df.select("doc_id", df[text]).mapInArrow(run, T.StructType([df.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def with_front(fp: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -255,7 +258,7 @@ def shingle_sets(df: DataFrame, text: str = "text", size: int = SHINGLE) -> Data
                 ends = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams), pa.int64()))], names=["doc_id", "fp", "grams"])
 
-    return df.select(F.col("doc_id").cast("long"), df[text]).mapInArrow(run, "doc_id long, fp long, grams array<long>")
+    return df.select("doc_id", df[text]).mapInArrow(run, T.StructType([df.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))]))
 
 
 def marks(df: DataFrame, name: str) -> np.ndarray:
@@ -304,44 +307,67 @@ def only_marked(sets: DataFrame, bits: np.ndarray) -> DataFrame:
     return sets.select("fp", "grams").mapInArrow(run, "fp long, grams array<long>")
 
 
+def shared_parts(own: DataFrame, similarity: float) -> DataFrame:
+    """fp and s, the number of the set's shingles that another of the sets holds, where that is enough for any link."""
+    each = own.select("fp", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    shared = each.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    parts = each.join(shared, "gram", "left_semi").groupBy("fp", "n").agg(F.count("*").cast("int").alias("s"))
+    return parts.where(F.col("s") >= similarity * F.col("n") - NEAR).select("fp", "s")
+
+
 def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between set hashes that join all sets of this Jaccard similarity or more, and no others."""
+    """Edges (a, b) between set hashes that join all sets of this Jaccard similarity or more, and no others.
+
+    What is written for `sets` is deleted on the way.
+    """
     group = Window.partitionBy("gram")
+    least = similarity / (1 + similarity)  # of both sizes' sum, what two sets share at least
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"lo": F.min("fp").over(group), "hi": F.max("fp").over(group)}).where("lo <> hi").drop("lo", "hi")
+
     late = marks(prefixes(sets, similarity).groupBy("gram").count().where("count > 1"), "gram")
-    rows = prefixes(sets, similarity, late)
-    rows = rows.withColumns({"lo": F.min("fp").over(group), "hi": F.max("fp").over(group)}).where("lo <> hi").drop("lo", "hi")
-    rows = materialise(rows.dropDuplicates(["gram", "fp"]), "shared")
+    rows = materialise(met(prefixes(sets, similarity, late)).dropDuplicates(["gram", "fp"]), "shared")
     own = only_marked(sets, marks(rows, "fp"))
     own = materialise(own.join(rows.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "grams"), "sets")
-
-    def sizes_fit(m: Column, n: Column) -> Column:
-        return F.least(m, n) >= similarity * F.greatest(m, n) - NEAR
-
-    def verified(p: tuple[Column, Column], q: tuple[Column, Column], met: DataFrame) -> DataFrame:
+    discard(sets)
+    # twice: what the sets that are gone held alone with another does not count any more
+    for _ in range(2):
+        parts = materialise(shared_parts(own, similarity), "parts")
+        old, own = own, materialise(own.join(parts.select("fp"), "fp", "left_semi"), "sets")
+        discard(old)
+    old, rows = rows, materialise(met(rows.join(parts, "fp")), "shared")
+    discard(old)
+
+    def fits(m: Column, s: Column, n: Column, z: Column) -> Column:
+        """Sizes m and n and shared parts s and z leave room for a link."""
+        return (F.least(m, n) >= similarity * F.greatest(m, n) - NEAR) & (F.least(s, z) >= least * (m + n) - NEAR)
+
+    def verified(p: tuple[Column, Column], q: tuple[Column, Column], pairs: DataFrame) -> DataFrame:
         """Links among the pairs that met, once for each shared shingle; p and q: hash and size of each set.
 
         What two sets share outside both prefixes lies behind the prefix that ends first, so few common ones rule a pair out.
         """
-        pairs = met.select(F.least(p[0], q[0]).alias("a"), F.greatest(p[0], q[0]).alias("b"), (p[1] + q[1]).alias("sum"), F.greatest(p[1], q[1]).alias("more"))
+        pairs = pairs.select(F.least(p[0], q[0]).alias("a"), F.greatest(p[0], q[0]).alias("b"), (p[1] + q[1]).alias("sum"), F.greatest(p[1], q[1]).alias("more"))
         pairs = pairs.groupBy("a", "b", "sum", "more").count()
-        pairs = pairs.where(F.col("count") + F.ceil(similarity * F.col("more") - NEAR) - 1 >= similarity / (1 + similarity) * F.col("sum") - NEAR).select("a", "b")
+        pairs = pairs.where(F.col("count") + F.ceil(similarity * F.col("more") - NEAR) - 1 >= least * F.col("sum") - NEAR).select("a", "b")
         pairs = pairs.join(own.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return materialise(pairs.where(both >= similarity * (F.size("x") + F.size("y") - both) - NEAR).select("a", "b"), "links")
 
     edges, named = None, rows.withColumn("label", F.col("fp"))
-    for salt in range(2):
-        center = named.groupBy("gram").agg(F.min_by(F.struct("fp", "n", "label"), F.xxhash64(F.lit(salt), "fp")).alias("c"))
-        pairs = named.join(center, "gram").where((F.col("label") != F.col("c.label")) & sizes_fit(F.col("n"), F.col("c.n")))
+    for best in (F.struct(-F.col("s") / F.col("n"), F.xxhash64("fp")), F.xxhash64(F.lit(1), "fp")):
+        center = named.groupBy("gram").agg(F.min_by(F.struct("fp", "n", "s", "label"), best).alias("c"))
+        pairs = named.join(center, "gram").where((F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("s"), F.col("c.n"), F.col("c.s")))
         found = verified((F.col("fp"), F.col("n")), (F.col("c.fp"), F.col("c.n")), pairs)
         edges = found if edges is None else edges.unionByName(found)
-        named = materialise(rows.join(components(edges), rows["fp"] == F.col("node"), "left").select("gram", "fp", "n", F.coalesce("root", "fp").alias("label")), "named")
+        named = materialise(rows.join(components(edges), rows["fp"] == F.col("node"), "left").select("gram", "fp", "n", "s", F.coalesce("root", "fp").alias("label")), "named")
     most = named.groupBy("gram").agg(F.mode("label").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "most")
     named = materialise(named.join(most, "gram"), "apart")
     x, y = named.where("label <> most").alias("x"), named.alias("y")
-    fits = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.most")) | (F.col("x.fp") < F.col("y.fp"))) & sizes_fit(F.col("x.n"), F.col("y.n"))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & fits)
-    return edges.unionByName(verified((F.col("x.fp"), F.col("x.n")), (F.col("y.fp"), F.col("y.n")), met))
+    other = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.most")) | (F.col("x.fp") < F.col("y.fp")))
+    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & other & fits(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s")))
+    return edges.unionByName(verified((F.col("x.fp"), F.col("x.n")), (F.col("y.fp"), F.col("y.n")), pairs))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", budget: int = BUDGET, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -353,7 +379,7 @@ def near_duplicates(df: DataFrame, text: str = "text", budget: int = BUDGET, siz
         fps = materialise(fingerprints(df, text), "fingerprints")
     else:
         sets = materialise(shingle_sets(df, text, size), "shingles")
-        fps = sets.select("doc_id", "fp")
+        fps = materialise(sets.select("doc_id", "fp"), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), budget) if similarity is None else similar_links(sets, similarity))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
