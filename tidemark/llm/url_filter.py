@@ -1,20 +1,29 @@
 """URL filter: host and path rules, and a character language-model ratio for what no rule decides.
 
 Two variable-order Markov models, one for accepted and one for rejected URLs, give log-likelihoods; a URL is allowed if
-their difference, divided by its length, reaches a calibrated threshold. The models are learned from the URLs that the
-rules decide, four fifths by hash of the URL; the threshold is the one of a fixed grid that has the best balanced
-accuracy on the last fifth. The models mix orders 0 to `ORDER`: an order's estimate is its count plus `PRIOR` times the
-lower order's probability, over the context's count plus `PRIOR`. Counts are hashed to tables of at least `BUCKETS` places
-per order; their size is `ROOM` times the most distinct n-grams of an order (measured, to a few percent) or more, so that
-few share a place, however many there are.
-
-Null URLs and URLs without `://` have empty host and path; null is scored as an empty text. Without rule-decided URLs
-of both kinds every score is 0 and the threshold 0 (allow). Repeated URLs count each time. Extra columns are kept apart
-from the made ones; an empty table gives no rows.
+their difference, divided by its length, reaches a calibrated threshold. The models mix orders 0 to `ORDER` over the bytes
+of the text: an order's estimate is its count plus `PRIOR` times the lower order's probability, over the context's
+count plus `PRIOR`.
+
+The models learn from the URLs that the rules decide, and from `SEEDS`, words of hosts of either kind. They must not learn the
+rules themselves, so what a rule can look at is masked in every URL: the last labels of the host and the first segments of
+the path, as many as the longest rule has (of a host with no more labels, the last). Each distinct masked host and
+path counts once, however many URLs it has. A host's URLs are judged by models that have not seen that host: hosts are dealt
+to `FOLDS` folds, and the counts of a host's own fold are left out. Seeds make up `SEED_SHARE` of each kind's hosts,
+or count once each if that is more. The threshold is the score that no more than `LOSS` of the accepted hosts fall
+below, and at most 0.
+
+Counts are kept by 64-bit key of context and symbol, without a limit. Where there are more than `BLOCK_KEYS`, URLs are scored in
+several passes, each with the counts of the contexts (by their last two symbols) that fit; a position is scored in one pass.
+
+Null URLs and URLs without `://` have empty host and path; a null or empty text scores 0. Without accepted hosts the threshold
+is 0. Repeated URLs get equal results. Extra columns are kept apart from the made ones; names that start with `_u_` are
+reserved; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +32,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, load
+from .common import LOWER, UPPER, load, materialise
 
 #: (verdict, rule): a rule is a host and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Words of hosts that are rejected (0) or accepted (1) whatever the rules.
+SEEDS = (
+    tuple("casino poker bets betting jackpot slots roulette lottery bingo gamble pills pharmacy viagra cialis meds steroids diet cheap discount replica loan loans payday cash profit forex adult porn xxx sex escort webcam dating singles spam ads adserver banner popup clicks track tracker tracking affiliate traffic farm win winner prize free gift coupon crack warez keygen torrent cheats hack malware phishing".split()),
+    tuple("news times herald press wiki docs manual library archive journal science physics biology museum gallery school college university research institute lab city council public health clinic hospital history heritage garden cooking recipes weather travel maps music theatre books reading poetry education learning community village church sports football chess cycling nature forest river energy engineering code software open project".split()),
+)
+SEED_SHARE = 0.5
 ORDER = 4
-BUCKETS = 1 << 14
-ROOM = 4
 PRIOR = 4.0
-SYMBOLS = 128
-#: Histogram of scores for the threshold: `BINS` bins of `STEP` around 0.
-STEP, BINS = 0.01, 1001
+SYMBOLS = 256
+FOLDS = 4
+LOSS = 0.04
+#: Shares of the contexts that are dealt to passes, and the most keys of a pass.
+SHARDS = 1024
+BLOCK_KEYS = 500_000
+MASK = "\x03"
 
 
 def host_of(url: Column) -> Column:
@@ -54,137 +71,191 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def symbols(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all URLs one after the other, each with ORDER start symbols and an end symbol; the URLs' lengths.
+def reach_of(rules=RULES) -> tuple[int, int]:
+    """Host labels and path segments of the longest rules."""
+    return max([1, *(r.partition("/")[0].count(".") + 1 for _, r in rules)]), max([0, *(r.partition("/")[2].strip("/").count("/") + 1 for _, r in rules if r.partition("/")[2])])
 
-    Letters are lower-cased, digits are one symbol, non-ASCII characters another.
-    """
-    texts = [(u or "").lower() for u in urls]
-    raw = "".join("\x01" * ORDER + u + "\x02" for u in texts)
-    code = np.frombuffer(raw.encode("utf-32-le"), np.uint32).astype(np.int64)
-    code = np.where((code >= 48) & (code <= 57), 48, np.where(code < SYMBOLS - 1, code, SYMBOLS - 1))
-    return code, np.array([len(u) + 1 for u in texts], np.int64)
 
+def masked(url: str | None, labels: int, segments: int) -> tuple[str, str]:
+    """The host, and the rest, without what rules look at; both empty for an empty text."""
+    head, found, rest = (url or "").partition("://")
+    host = re.match(r"[^/?#]*", rest)[0] if found else ""
+    tail = rest[len(host) :] if found else head
+    names = host.lower().split(".")
+    shown = names[:-labels] if len(names) > labels else names[:-1]
+    first = re.match(r"(?:/[^/?#]*){0,%d}" % segments, tail)[0]
+    return ".".join([*shown, MASK]) if host else "", MASK + tail[len(first) :].lower() if tail else ""
 
-def hashes(code: np.ndarray, lengths: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order, hashes of each position's symbol with its context, and of the context alone."""
-    end = np.cumsum(lengths + ORDER)
-    at = np.ones(len(code), bool)
-    for k in range(ORDER):
-        at[end - lengths - ORDER + k] = False
-    pos = np.flatnonzero(at)
+
+def keys_of(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order, keys of each position's symbol with its context, and of the context alone; each position's shard and
+    the texts' lengths. A text is its bytes and an end symbol, after ORDER start symbols."""
+    parts = [t.encode("utf-8", "replace") + b"\x02" for t in texts]
+    lengths = np.array([len(t) for t in parts], np.int64)
+    code = np.frombuffer(b"".join(b"\x01" * ORDER + t for t in parts), np.uint8).astype(np.uint64)
+    start = np.cumsum(lengths + ORDER) - lengths
+    pos = np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
     grams, contexts, h = [], [], np.zeros(len(pos), np.uint64)
+    shard = np.zeros(len(pos), np.int64)
     for n in range(ORDER + 1):
         if n:
-            h = (h + code[pos - n].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h + code[pos - n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
-        both = (h ^ (code[pos].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
-        grams.append(both ^ both >> np.uint64(32))
-        contexts.append(h ^ h >> np.uint64(32))
-    return grams, contexts
-
-
-def slots(code: np.ndarray, lengths: np.ndarray, buckets: int = BUCKETS) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order, the table places of each position's symbol with its context, and of the context alone."""
-    places = [[(2 * n + k) * buckets + (h % np.uint64(buckets)).astype(np.int64) for n, h in enumerate(own)] for k, own in enumerate(hashes(code, lengths))]
-    return places[0], places[1]
-
+        if n == 2:
+            shard = (h % np.uint64(SHARDS)).astype(np.int64)
+        own = (h + np.uint64(n + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        own ^= own >> np.uint64(29)
+        both = (own + code[pos] + np.uint64(1)) * np.uint64(0x165667B19E3779F9)
+        contexts.append(own.view(np.int64))
+        grams.append((both ^ both >> np.uint64(32)).view(np.int64))
+    return grams, contexts, shard, lengths
 
-SLOTS = 2 * (ORDER + 1) * BUCKETS
 
-
-def buckets_for(df: DataFrame) -> int:
-    """A power of two with room for the distinct n-grams of the highest order in the frame's column url."""
+def strings(df: DataFrame, rules=RULES) -> DataFrame:
+    """text, fold, allow, host: the distinct masked hosts and rests of a frame of (url, allow)."""
+    labels, segments = reach_of(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, _ = hashes(*symbols(batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(grams[-1]).view(np.int64), pa.int64())], names=["gram"])
+            hosts, rests = zip(*[masked(u, labels, segments) for u in batch.column(0).to_pylist()]) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(rests, pa.string()), batch.column(1)], names=["host", "rest", "allow"])
 
-    distinct = df.select("url").mapInArrow(run, "gram long").agg(F.approx_count_distinct("gram", 0.02)).first()[0]
-    return max(BUCKETS, 1 << (ROOM * distinct - 1).bit_length()) if distinct else BUCKETS
+    each = df.mapInArrow(run, "host string, rest string, allow int").where("host <> '' or rest <> ''").withColumn("fold", fold_of(F.col("host")))
+    return each.select("fold", "allow", F.explode(F.array(F.struct(F.col("host").alias("text"), F.lit(True).alias("host")), F.struct(F.col("rest").alias("text"), F.lit(False).alias("host")))).alias("x")).select("x.*", "fold", "allow").where("text <> ''").distinct()
 
 
-def count(df: DataFrame, buckets: int | None = None) -> np.ndarray:
-    """Counts by verdict (0 block, 1 allow) and place, of a frame of (url, allow)."""
-    buckets = buckets or buckets_for(df)
-    size = 2 * (ORDER + 1) * buckets
+def fold_of(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code, lengths = symbols(batch.column(0).to_pylist())
-            allow = np.repeat(batch.column(1).to_numpy().astype(np.int64), lengths) * size
-            grams, contexts = slots(code, lengths, buckets)
-            some, n = np.unique(np.concatenate([x + allow for x in (*grams, *contexts)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n, pa.int64())], names=["place", "n"])
 
-    table = df.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * size, np.float32)
-    out[table["place"].to_numpy()] = table["n"].to_numpy()
-    return out.reshape(2, size)
+def with_seeds(table: DataFrame, seeds=SEEDS) -> DataFrame:
+    """text, fold (FOLDS for seeds, which are in no host's own fold), allow, weight."""
+    n = {r["allow"]: r["n"] for r in table.where("host").groupBy("allow").agg(F.count("*").alias("n")).collect()}
+    rows = [(f"{w}.{MASK}", FOLDS, k, max(1.0, SEED_SHARE / (1 - SEED_SHARE) * n.get(k, 0) / len(own))) for k, own in enumerate(seeds) for w in own]
+    more = table.sparkSession.createDataFrame(rows, "text string, fold int, allow int, weight double")
+    return table.select("text", "fold", "allow", F.lit(1.0).alias("weight")).unionByName(more)
 
 
-def log_ratio(counts: np.ndarray, urls: list[str | None]) -> np.ndarray:
-    """Difference of the accepted and the rejected model's log-likelihood, per symbol."""
-    if not len(urls):
-        return np.zeros(0)
-    code, lengths = symbols(urls)
-    grams, contexts = slots(code, lengths, counts.shape[1] // (2 * (ORDER + 1)))
-    logs = []
-    for own in counts:
-        p = np.full(len(grams[0]), 1.0 / SYMBOLS)
-        for g, c in zip(grams, contexts):
-            p = (np.minimum(own[g], own[c]) + PRIOR * p) / (own[c] + PRIOR)
-        logs.append(np.log(p))
-    total = np.add.reduceat(logs[1] - logs[0], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-    return total / lengths
-
-
-def scorer(df: DataFrame, counts: np.ndarray, rest: list[str]) -> DataFrame:
-    """df's columns `rest` and score, from its column url."""
-    sent = df.sparkSession.sparkContext.broadcast(counts)
-    schema = T.StructType([*df.select(*rest).schema, T.StructField("score", T.DoubleType())])
+def count(table: DataFrame) -> DataFrame:
+    """shard (-1 for orders 0 and 1, which every pass needs), key, kind (2 * fold + allow) and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = log_ratio(sent.value, batch.column("url").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score, pa.float64())], names=[*rest, "score"])
-
-    return df.mapInArrow(run, schema)
-
-
-def best_threshold(bins: list[tuple[int, int, int]]) -> float:
-    """The grid point with the best balanced accuracy; of equals the one nearest to 0."""
-    n = np.zeros((2, BINS))
-    for b, allow, k in bins:
-        n[int(allow), b] += k
-    if not n.sum(axis=1).all():
-        return 0.0
-    below = np.cumsum(n, axis=1) - n
-    balanced = below[0] / n[0].sum() + 1 - below[1] / n[1].sum()
-    grid = (np.arange(BINS) - BINS // 2) * STEP
-    best = np.flatnonzero(balanced >= balanced.max() - 1e-12)
-    return float(grid[best[np.argmin(np.abs(grid[best]))]])
-
-
-def judge(df: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
+            grams, contexts, shard, lengths = keys_of(batch.column(0).to_pylist())
+            kind = np.repeat(2 * batch.column(1).to_numpy().astype(np.int64) + batch.column(2).to_numpy(), lengths)
+            weight = np.repeat(batch.column(3).to_numpy(), lengths)
+            for n in range(ORDER + 1):
+                for keys in (grams[n], contexts[n]):
+                    some, first, place = np.unique(keys, return_index=True, return_inverse=True)
+                    total = np.bincount(place * 2 * (FOLDS + 1) + kind, weight, len(some) * 2 * (FOLDS + 1))
+                    on = np.flatnonzero(total)
+                    at = on // (2 * (FOLDS + 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[first][at] if n > 1 else np.full(len(on), -1), pa.int64()), pa.array(some[at], pa.int64()), pa.array(on % (2 * (FOLDS + 1)), pa.int64()), pa.array(total[on], pa.float64())], names=["shard", "key", "kind", "n"])
+
+    return table.select("text", "fold", "allow", "weight").mapInArrow(run, "shard long, key long, kind long, n double").groupBy("shard", "key", "kind").agg(F.sum("n").alias("n"))
+
+
+def passes(counts: DataFrame, block_keys: int = BLOCK_KEYS) -> list[list[int]]:
+    """Shards by pass. A shard is not split."""
+    sizes = dict(counts.where("shard >= 0").groupBy("shard").agg(F.count_distinct("key").alias("n")).collect())
+    out, held = [[]], 0
+    for s in range(SHARDS):
+        if held and held + sizes.get(s, 0) > block_keys:
+            out.append([])
+            held = 0
+        out[-1].append(s)
+        held += sizes.get(s, 0)
+    return out
+
+
+def table_of(counts: DataFrame, shards: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, their counts by allow and fold, and which shards they are of."""
+    rows = counts.where(F.col("shard") < 0) if not shards else counts.where((F.col("shard") < 0) | F.col("shard").between(shards[0], shards[-1]))
+    got = rows.select("key", "kind", "n").toPandas()
+    keys, place = np.unique(got["key"].to_numpy(np.int64), return_inverse=True)
+    n = np.zeros((len(keys) + 1, 2, FOLDS + 1), np.float32)  # the last row: keys that were never seen
+    kind = got["kind"].to_numpy(np.int64)
+    n[place, kind % 2, kind // 2] = got["n"].to_numpy()
+    on = np.zeros(SHARDS, bool)
+    on[shards] = True
+    return keys, n, on
+
+
+def log_ratios(table: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[str], folds: np.ndarray) -> np.ndarray:
+    """Of each text, the sum of the accepted less the rejected model's log-probabilities over positions in the table's shards."""
+    if not len(texts):
+        return np.zeros(0)
+    keys, n, on = table
+    grams, contexts, shard, lengths = keys_of(texts)
+    fold = np.repeat(folds, lengths)
+
+    def seen(some: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, some)
+        at[(at == len(keys)) | (keys[np.minimum(at, len(keys) - 1)] != some)] = len(keys)
+        own = n[at].astype(np.float64)
+        return own.sum(axis=2) - own[np.arange(len(at)), :, fold]
+
+    if not len(keys):
+        return np.zeros(len(texts))
+    p = np.full((len(fold), 2), 1.0 / SYMBOLS)
+    for g, c in zip(grams, contexts):
+        p = (seen(g) + PRIOR * p) / (seen(c) + PRIOR)
+    each = np.where(on[shard], np.log(p[:, 1]) - np.log(p[:, 0]), 0.0)
+    return np.add.reduceat(each, np.cumsum(lengths) - lengths)
+
+
+def scored(df: DataFrame, counts: DataFrame, rules=RULES, block_keys: int = BLOCK_KEYS) -> DataFrame:
+    """df with score, from its column _u_url."""
+    labels, segments = reach_of(rules)
+    names, schema = df.columns, T.StructType([*df.schema, T.StructField("_u_sum", T.DoubleType()), T.StructField("_u_n", T.LongType())])
+    out = df.withColumns({"_u_sum": F.lit(0.0), "_u_n": F.lit(0).cast("long")})
+    out = out.withColumn("_u_fold", fold_of(masked_host(F.col("_u_url"), labels)))
+    groups = passes(counts, block_keys)
+    for k, shards in enumerate(groups):
+        sent = df.sparkSession.sparkContext.broadcast(table_of(counts, shards))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = [masked(u, labels, segments) for u in batch.column("_u_url").to_pylist()]
+                folds = batch.column("_u_fold").to_numpy().astype(np.int64)
+                total = sum(log_ratios(sent.value, [p[i] for p in parts], folds) * np.array([p[i] != "" for p in parts]) for i in (0, 1))
+                length = [sum(len(x.encode("utf-8", "replace")) + 1 for x in p if x) for p in parts]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(batch.column("_u_sum").to_numpy() + total, pa.float64()), pa.array(length, pa.int64()), batch.column("_u_fold")], names=[*names, "_u_sum", "_u_n", "_u_fold"])
+
+        out = out.mapInArrow(run, T.StructType([*schema, T.StructField("_u_fold", T.IntegerType())]))
+        if k + 1 < len(groups):
+            out = materialise(out, "scores")
+    return out.withColumn("score", F.when(F.col("_u_n") > 0, F.col("_u_sum") / F.col("_u_n")).otherwise(0.0)).drop("_u_sum", "_u_n", "_u_fold")
+
+
+def masked_host(url: Column, labels: int) -> Column:
+    """The host of masked(), as a column."""
+    names = F.split(F.lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit(""))), r"\.", -1)
+    shown = F.slice(names, 1, F.when(F.size(names) > labels, F.size(names) - labels).otherwise(F.size(names) - 1))
+    return F.when(F.array_join(names, ".") == "", F.lit("")).otherwise(F.array_join(F.concat(shown, F.array(F.lit(MASK))), "."))
+
+
+def learn(df: DataFrame, url: str = "url", rules=RULES, seeds=SEEDS) -> DataFrame:
+    """Counts from the URLs of df that the rules decide, and from the seeds."""
+    _, decided = rule_of(host_of(F.col(url)), path_of(F.col(url)), rules)
+    known = df.select(F.col(url).alias("url"), (decided == "allow").cast("int").alias("allow")).where("allow is not null")
+    return materialise(count(with_seeds(materialise(strings(known, rules), "strings"), seeds)), "counts")
+
+
+def judge(df: DataFrame, url: str = "url", rules=RULES, seeds=SEEDS, loss: float = LOSS, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """df with host, path, rule, score, threshold, verdict."""
     made = ("host", "path", "rule", "score", "threshold", "verdict")
     rest = [c for c in df.columns if c not in made]
-    known = df.select(F.col(url).alias("url"))
-    _, decided = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
-    known = known.select("url", (decided == "allow").cast("int").alias("allow"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("check")).where("allow is not null")
-    counts = count(known.where("not check").select("url", "allow"))
-    if not counts.any(axis=1).all():
-        counts[:] = 0
-    checked = scorer(known.where("check").select("url", "allow"), counts, ["allow"])
-    spot = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.col("score") / STEP) + BINS // 2)).cast("int")
-    threshold = best_threshold([tuple(r) for r in checked.groupBy(spot.alias("bin"), "allow").count().collect()]) if counts.any() else 0.0
-    scored = scorer(df.select(*[F.col(c) for c in rest], *([] if url == "url" else [F.col(url).alias("url")])), counts, rest)
-    out = scored.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    counts = learn(df, url, rules, seeds)
+    allowed = df.select(F.col(url).alias("_u_url")).where(rule_of(host_of(F.col(url)), path_of(F.col(url)), rules)[1] == "allow").distinct()
+    by_host = scored(allowed, counts, rules, block_keys).groupBy(host_of(F.col("_u_url")).alias("host")).agg(F.avg("score").alias("score"))
+    least = by_host.agg(F.percentile_approx("score", loss, 10_000)).first()[0]
+    threshold = min(0.0, least) if least is not None else 0.0
+    own = df.select(*rest, *([] if url in rest else [F.col(url)])).withColumn("_u_url", F.col(url))
+    out = scored(own, counts, rules, block_keys).withColumns({"host": host_of(F.col("_u_url")), "path": path_of(F.col("_u_url"))})
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return out.select(*rest, "host", "path", rule.alias("rule"), "score", F.lit(threshold).alias("threshold"), F.coalesce(decided, own).alias("verdict"))
+    said = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    return out.select(*rest, "host", "path", rule.alias("rule"), "score", F.lit(threshold).alias("threshold"), F.coalesce(decided, said).alias("verdict"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
