@@ -319,6 +319,47 @@ def test_license_base_matches_brute_force(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def common_words(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_license_spans_are_verified(spark):
+    """Whole, edited and scattered templates: what is labelled holds most of the template's words in order, what holds it is labelled."""
+    rng = np.random.default_rng(2)
+    junk = lambda n: " ".join(f"z{rng.integers(0, 500)}" for _ in range(n))
+    texts, wanted = ["licensed under cc under cc by cc by nc by nc 4 nc 4 0", "licensed under cc by nc 4 0 licensed under cc by nc 4 0", "Licensed under the Apache License, Version 2.0."], [set(), {"cc-by-nc"}, {"apache-2.0"}]
+    for phrase, label in license_scan.TEMPLATES:
+        w = phrase.split()
+        texts += [f"{junk(20)} {phrase} {junk(20)}", f"{phrase.upper()}. {junk(3)}"]
+        wanted += [{label}, {label}]
+        for edits in (len(w) // 25, len(w) // 3):
+            copy = list(w)
+            for k in sorted(rng.choice(len(w), edits, replace=False).tolist(), reverse=True):
+                copy[k : k + 1] = [["zz"], [], [copy[k], "zz"]][rng.integers(0, 3)]
+            texts.append(f"{junk(5)} {' '.join(copy)}")
+            wanted.append({label} if edits == len(w) // 25 else None)
+        texts.append(" ".join(rng.permutation(w)))
+        wanted.append(None)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.labels.split(",") if r.labels else [] for r in license_scan.scan(df).collect()}
+    for i, labels in enumerate(wanted):
+        assert labels is None or labels <= set(found[i]), (i, texts[i], found[i])
+    assert found[0] == ["cc-by"] and found[2] == ["apache-2.0"]  # the first: the base phrase alone
+    ids = {int(r["_row_id"]): [] for r in license_scan.find_licenses(df).collect()}
+    for r in license_scan.find_licenses(df).where("not exact").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(texts[r["_row_id"]]))[r.start : r.end]
+        ids[r["_row_id"]].append(r.label)
+        best = max((common_words(p.split(), w) / max(len(p.split()), len(w)) for p, x in license_scan.TEMPLATES if x == r.label))
+        assert best >= r.covered - 1e-9 >= license_scan.COVERAGE - 1e-9
+    assert len(ids) > 60
+
+
 def test_kelvin_and_dotted_letters_do_not_become_ascii(spark):
     df = spark.createDataFrame([(1, "boo\u212a \u0130 CC BY"), (2, "\u0130cc by")], "doc_id long, text string")
     out = {r.doc_id: (r.n_words, r.n_base) for r in license_scan.scan(df).collect()}
