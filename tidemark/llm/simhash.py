@@ -26,7 +26,7 @@ Of the documents that meet, shingles that no other of them holds are counted: tw
 has left, which rules out most documents of a large group of loosely alike ones before any pair is made. Of those that
 stay, each is compared with a center first, the document with the largest part of shared shingles, to which all that
 can be near to any tend to be near; what that has joined is not compared with itself again, all other pairs
-are. Every candidate is verified on the whole sets.
+are, if masks of their shared shingles leave room for a link. Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ FRONTIER = 500_000
 #: Bits that mark shingles as shared or sets as candidates; too few cost time, not links.
 MARKS = 1 << 26
 NEAR = 1e-9
+#: Words of the masks; too few cost time, not links.
+MASK_WORDS = 8
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -308,11 +310,21 @@ def only_marked(sets: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def shared_parts(own: DataFrame, similarity: float) -> DataFrame:
-    """fp and s, the number of the set's shingles that another of the sets holds, where that is enough for any link."""
+    """fp, s (the number of the set's shingles that another of the sets holds), where that is enough for any link, and a
+    mask of `MASK_WORDS` words of 64 bits, in which each of these shingles sets a bit."""
     each = own.select("fp", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     shared = each.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    parts = each.join(shared, "gram", "left_semi").groupBy("fp", "n").agg(F.count("*").cast("int").alias("s"))
-    return parts.where(F.col("s") >= similarity * F.col("n") - NEAR).select("fp", "s")
+    slot = F.pmod(F.xxhash64("gram"), F.lit(64 * MASK_WORDS)).cast("int")
+    bit = F.expr("shiftleft(1L, slot % 64)")
+    masks = [F.bit_or(F.when(F.floor(F.col("slot") / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(MASK_WORDS)]
+    parts = each.join(shared, "gram", "left_semi").withColumn("slot", slot).groupBy("fp", "n").agg(F.count("*").cast("int").alias("s"), *masks)
+    return parts.where(F.col("s") >= similarity * F.col("n") - NEAR).drop("n")
+
+
+def most_shared(x: str, y: str) -> Column:
+    """An upper bound of what two sets share: a bit that only one mask has is a shingle that the other set lacks."""
+    apart = lambda a, b: sum((F.bit_count(F.col(f"{a}.m{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.m{i}")))) for i in range(MASK_WORDS)), F.lit(0))
+    return F.least(F.col(f"{x}.s") - apart(x, y), F.col(f"{y}.s") - apart(y, x))
 
 
 def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
@@ -336,7 +348,7 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         parts = materialise(shared_parts(own, similarity), "parts")
         old, own = own, materialise(own.join(parts.select("fp"), "fp", "left_semi"), "sets")
         discard(old)
-    old, rows = rows, materialise(met(rows.join(parts, "fp")), "shared")
+    old, rows = rows, materialise(met(rows.join(parts.select("fp", "s"), "fp")), "shared")
     discard(old)
 
     def fits(m: Column, s: Column, n: Column, z: Column) -> Column:
@@ -363,10 +375,11 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         named = materialise(rows.join(components(edges), rows["fp"] == F.col("node"), "left").select("gram", "fp", "n", "s", F.coalesce("root", "fp").alias("label")), "named")
     most = named.groupBy("gram").agg(F.mode("label").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "most")
-    named = materialise(named.join(most, "gram"), "apart")
+    named = materialise(named.join(most, "gram").join(parts.drop("s"), "fp"), "apart")
     x, y = named.where("label <> most").alias("x"), named.alias("y")
     other = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.most")) | (F.col("x.fp") < F.col("y.fp")))
-    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & other & fits(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s")))
+    room = fits(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s")) & (most_shared("x", "y") >= least * (F.col("x.n") + F.col("y.n")) - NEAR)
+    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & other & room)
     return edges.unionByName(verified((F.col("x.fp"), F.col("x.n")), (F.col("y.fp"), F.col("y.n")), pairs))
 
 
