@@ -2,9 +2,9 @@
 
 A document's full windows are closed at once; its rest goes to the fill level for which the sum, over all levels, of
 the squared number of partially filled windows grows least (ties: the fullest window). The counts are held in a
-level array. Each task packs its own rows, so nothing is shuffled; at its end, and whenever more than `max_open`
-windows are open, the emptiest windows' pieces are cut to fill the fullest ones. What then remains in a task, less
-than one window, is cut at powers of two, which need no padding.
+level array. Each task packs its own rows, so nothing is shuffled; open windows hold no more than the ids of a task's rows.
+At its end the emptiest windows' pieces are cut to fill the fullest ones. What then remains in a task, less
+than one window, is cut at powers of two, which need no padding. `doc_id` may be of any type.
 
 Null texts are empty documents (only the end id). Repeated rows are packed one by one; an empty table gives no rows.
 `doc_id` may be null. Other columns of the input are not read.
@@ -19,21 +19,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import load
 from .tokenizing import encoder, read_tokenizer
 
 WINDOW = 1024
 END_ID = 0
-MAX_OPEN = 4096
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+MADE = [T.StructField(c, T.BinaryType() if c == "ids" else T.LongType()) for c in ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")]
 
 
 class Packer:
     """A piece is (doc_id, start, ids as little-endian unsigned 32-bit bytes, tokens of its document)."""
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN):
-        self.window, self.max_open = window, max_open
+    def __init__(self, window: int = WINDOW):
+        self.window = window
         self.count = np.zeros(window + 1, np.int64)  # partially filled windows by fill level
         self.open: list[list[list[tuple]]] = [[] for _ in range(window + 1)]
         self.n_open = 0
@@ -61,8 +62,6 @@ class Packer:
         bin_ = self.take(h) if h else []
         bin_.append((doc_id, full, ids[4 * full :], n))
         self.put(bin_, h + size)
-        if self.n_open > self.max_open:
-            self.settle(self.max_open // 2)
 
     def take(self, level: int) -> list[tuple]:
         self.count[level] -= 1
@@ -77,10 +76,10 @@ class Packer:
             self.count[level] += 1
             self.n_open += 1
 
-    def settle(self, keep: int) -> None:
-        """Fills the fullest windows with cut pieces of the emptiest, until at most `keep` windows are open."""
+    def settle(self) -> None:
+        """Fills the fullest windows with cut pieces of the emptiest, until at most one window is open."""
         lo, hi = 1, self.window - 1
-        while self.n_open > max(1, keep):
+        while self.n_open > 1:
             while not self.count[hi]:
                 hi -= 1
             into, room = self.take(hi), self.window - hi
@@ -105,7 +104,7 @@ class Packer:
             self.put(into, self.window - room)
 
     def finish(self) -> None:
-        self.settle(1)
+        self.settle()
         for level in np.flatnonzero(self.count):
             left = self.take(int(level))
             while level:
@@ -126,7 +125,7 @@ class Packer:
         return out
 
 
-def pack(df: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece; `ids` holds them as little-endian unsigned 32-bit integers.
 
     Sequence ids carry the task's partition number, so a task that runs again gives the same ones.
@@ -134,10 +133,12 @@ def pack(df: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW,
     spec = read_tokenizer(tokenizer_path)
     sent = df.sparkSession.sparkContext.broadcast(spec)
     end = end_id.to_bytes(4, "little")
+    schema = T.StructType([df.schema["doc_id"], *MADE])
+    id_type = to_arrow_type(df.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = encoder(sent.value), Packer(window, max_open)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        tokens, packer = encoder(sent.value), Packer(window)
+        types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         sequence = TaskContext.get().partitionId() << 40
 
@@ -160,7 +161,7 @@ def pack(df: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW,
         packer.finish()
         yield rows(packer.drain())
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
