@@ -1,11 +1,11 @@
 """Language ID by rank-order profiles and out-of-place distance.
 
-Grams are 1 to 3 letters of lower-cased text, where a run of other characters is one boundary. A letter has one of 63
-codes: a to z have their own, other letters share 37 by code point. A profile lists grams by falling frequency (ties:
-by code); a language's profile holds the `TOP` most frequent grams of all documents to learn from, a document's the
-`TOP` most frequent of its whole text. The distance is the sum, over the document's grams, of how far a gram's ranks
-lie apart; `TOP` for a gram that the language's profile lacks. The nearest language is predicted (ties: the first by
-name); the score is one less the ratio of its distance to that of the next language, 0 if there is only one.
+Grams are 1 to 3 letters of lower-cased text, where a run of other characters is one boundary; letters of all scripts are
+kept as they are. A profile lists grams by falling frequency (ties: by code); a language's profile holds the `TOP` most
+frequent grams of all documents to learn from, a document's the `TOP` most frequent of its whole text. The distance
+is the sum, over the document's grams, of how far a gram's ranks lie apart; `TOP` for a gram that the language's profile
+lacks. The nearest language is predicted (ties: the first by name); the score is one less the ratio of its distance to that
+of the next language, 0 if there is only one.
 
 Learned from text and non-null lang of rows whose crc32(doc_id as text) mod 5 is not 0; a null doc_id is neither learned
 from nor held out. Null texts and texts without a letter get `und` and 0, and so does every text if there is nothing
@@ -26,75 +26,61 @@ from .common import load, worker_state
 
 TOP = 400
 FOLDS = 5
-#: Languages whose counts a task holds at once; more are passed on in parts, which the sum by gram puts together.
-LANGUAGES_HELD = 32
-#: Gram codes: letters, then pairs, then triples of 6-bit codes.
-PAIRS, TRIPLES, CODES = 64, 64 + 4096, 64 + 4096 + 262_144
+#: Grams that a task counts before it passes the counts on; the sum by language and gram puts them together.
+GRAMS_HELD = 1_000_000
+#: Gram codes: triples of code points (0: boundary) in a number system of this base, then pairs, then single letters.
+BASE = 0x110000 + 1
+PAIRS, SINGLES = 2 * 10**18, 4 * 10**18
 
 
-def letter_codes() -> np.ndarray:
+def letters() -> np.ndarray:
+    """Which code points are letters."""
     kept = worker_state()
     if "letters" not in kept:
-        table = np.zeros(0x110000, np.int32)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                table[c] = c - 96 if 97 <= c <= 122 else 27 + c % 37
-        kept["letters"] = table
+        kept["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return kept["letters"]
 
 
-def grams(text: str, table: np.ndarray) -> np.ndarray:
+def grams(text: str, is_letter: np.ndarray) -> np.ndarray:
     """Codes of all grams of the text, in no particular order; empty if it has no letter."""
-    a = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    a = np.concatenate([[0], a, [0]]).astype(np.int32)
+    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    a = np.concatenate([[0], np.where(is_letter[a], a, 0), [0]]).astype(np.int64)
     a = a[np.concatenate([[True], (a[1:] != 0) | (a[:-1] != 0)])]  # one boundary for a run
-    two = a[:-1] * 64 + a[1:]
-    three = (two[:-1] * 64 + a[2:])[a[1:-1] != 0]  # none across a boundary
-    return np.concatenate([a[a != 0], PAIRS + two, TRIPLES + three]) if len(a) > 1 else np.zeros(0, np.int32)
+    two = a[:-1] * BASE + a[1:]
+    three = (two[:-1] * BASE + a[2:])[a[1:-1] != 0]  # none across a boundary
+    return np.concatenate([SINGLES + a[a != 0], PAIRS + two, three]) if len(a) > 1 else np.zeros(0, np.int64)
 
 
 def ranked(codes: np.ndarray, top: int) -> np.ndarray:
     """The `top` most frequent codes, the most frequent first."""
-    if len(codes) > 50_000:
-        n = np.bincount(codes, minlength=CODES)
-        code = np.flatnonzero(n)
-        n = n[code]
-    else:
-        code, n = np.unique(codes, return_counts=True)
-    key = (n.astype(np.int64) << 20) - code
-    if len(key) > top:
-        part = np.argpartition(key, len(key) - top)[len(key) - top :]
-        code, key = code[part], key[part]
-    return code[np.argsort(-key)]
+    code, n = np.unique(codes, return_counts=True)
+    return code[np.argsort(-n, kind="stable")[:top]]
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> dict[str, list[int]]:
     """Each language's profile, from all rows of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = letter_codes(), {}
+        is_letter, held, n_held = letters(), {}, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for own, n in total.items():
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["lang", "gram", "n"])
-            total.clear()
+            for own, parts in held.items():
+                some, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            held.clear()
 
         for batch in batches:
             for own, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if own not in total and len(total) >= LANGUAGES_HELD:
+                codes = grams(x.as_py(), is_letter)
+                held.setdefault(own, []).append(codes)
+                n_held += len(codes)
+                if n_held >= GRAMS_HELD:
                     yield from flush()
-                codes = grams(x.as_py(), table)
-                n = total.setdefault(own, np.zeros(CODES, np.int64))
-                if len(codes) < 20_000:
-                    code, k = np.unique(codes, return_counts=True)
-                    n[code] += k
-                else:
-                    n += np.bincount(codes, minlength=CODES)
+                    n_held = 0
         yield from flush()
 
     known = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     out: dict[str, list[int]] = {}
@@ -113,13 +99,18 @@ class Profiles:
         for k, own in enumerate(self.names):
             self.ranks[np.searchsorted(self.codes, profiles[own]), k] = np.arange(len(profiles[own]))
 
-    def predict(self, text: str | None, table: np.ndarray) -> tuple[str, float]:
-        codes = grams(text, table) if text else np.zeros(0, np.int32)
+    @classmethod
+    def of(cls, state: dict) -> Profiles:
+        """The profiles of these attributes. They are broadcast, not the object: workers may have no copy of this module."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
+    def predict(self, text: str | None, is_letter: np.ndarray) -> tuple[str, float]:
+        codes = grams(text, is_letter) if text else np.zeros(0, np.int64)
         if not len(codes) or not self.names:
             return "und", 0.0
         own = ranked(codes, self.top)
-        if not (own < PAIRS).any() and not (codes < PAIRS).any():
-            return "und", 0.0
         at = np.searchsorted(self.codes, own)
         at[(at == len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != own)] = len(self.codes)
         ranks = self.ranks[at]
@@ -131,14 +122,14 @@ class Profiles:
 
 def identify(df: DataFrame, profiles: dict[str, list[int]], text: str = "text", top: int = TOP) -> DataFrame:
     """df without the text, with lang_pred and score."""
-    sent = df.sparkSession.sparkContext.broadcast(Profiles(profiles, top))
+    sent = df.sparkSession.sparkContext.broadcast(vars(Profiles(profiles, top)))
     rest = [c for c in df.columns if c not in (text, "lang_pred", "score")]
     schema = T.StructType([*df.select(*rest).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = letter_codes()
+        is_letter, known = letters(), Profiles.of(sent.value)
         for batch in batches:
-            found = [sent.value.predict(x.as_py(), table) for x in batch.column(len(rest))]
+            found = [known.predict(x.as_py(), is_letter) for x in batch.column(len(rest))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*rest, "lang_pred", "score"])
 
     return df.select(*rest, text).mapInArrow(run, schema)
