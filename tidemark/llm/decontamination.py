@@ -74,6 +74,13 @@ class Index:
             order = np.argsort(h, kind="stable")
             self.lengths[length] = (h[order], starts[order], owners[order])
 
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        """The index of these attributes. They are broadcast, not the object: workers may have no copy of this module."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged spans of hit words, and the items that have occurring windows."""
         n = len(words)
@@ -137,7 +144,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str
 
     def scanner(sent, carried: bool):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            index = Index.of(sent.value)
             for batch in batches:
                 n_words, spans, items = [], [], []
                 before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()) if carried else repeat(([], []))
@@ -154,10 +161,10 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str
 
     carried = False
     for items in blocks(benchmark, block_bytes):
-        sent = df.sparkSession.sparkContext.broadcast(Index(items, size))
+        sent = df.sparkSession.sparkContext.broadcast(vars(Index(items, size)))
         out = (materialise(out, "leaks") if carried else out).mapInArrow(scanner(sent, carried), schema)
         carried = True
-    return out if carried else out.mapInArrow(scanner(df.sparkSession.sparkContext.broadcast(Index([], size)), False), schema)
+    return out if carried else out.mapInArrow(scanner(df.sparkSession.sparkContext.broadcast(vars(Index([], size))), False), schema)
 
 
 def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
