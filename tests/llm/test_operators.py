@@ -418,6 +418,8 @@ def test_quality_matches_brute_force(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
     kept_columns(kept)
     assert quality.keep_good(empty, labels).count() == 0
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert quality.keep_good(named(docs), named(labels), buckets=512).count() > 0
     assert {r.score for r in quality.judge(docs, labels.where("false")).collect()} == {0.0}
 
 

@@ -1,20 +1,22 @@
 """Quality rules: hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
 Words are runs of other characters than 0x20 and 0x09-0x0D. Words and word pairs are hashed to `buckets` buckets. One
-multinomial is fitted to all rows (raw corpus), one to the trusted rows (target): those labelled quality 1, or, if
-there are more than `trusted_rows` of them, that many of least hash. A document's score is the mean over its words
+multinomial is fitted to all rows (raw corpus), one to trusted rows, labelled quality 1 (target). A document's score is the mean over its words
 and pairs of the log ratio of their smoothed probabilities, with `PRIOR` more grams of ratio 0, so that a few words do
 not decide. It is rejected by the method if the score is below the
 threshold, and by the base rules if it has fewer than 10 words or over a fifth of its words stand in 5-word windows
 that occur twice or more.
 
-The target is fitted to four fifths of the trusted rows, by crc32 of doc_id; the threshold is the mean score of the last
-fifth, which the fit has not seen, less `spread` standard deviations (none without such rows). The tables that the tasks
-need have `buckets` numbers.
+The target is fitted to four fifths of the trusted rows, by crc32 of doc_id: to all, or, if there are more than `trusted_rows`,
+to that many of least hash. The threshold is the mean score of all trusted rows of the last fifth, which the fit
+has not seen, less `spread` standard deviations (none without such rows: then only the base rules reject). Scores of good texts
+have a long lower tail, hence the wide spread; the README gives the figures. The tables that the tasks need have `buckets`
+numbers. Texts are read twice, to count and to judge; scores and base counts are written before the threshold is
+taken from them.
 
 Null texts have no words, fail the base rule and score 0. Repeated rows count and are judged one by one; an empty table
-gives no rows. Labels with a null doc_id or quality are not read; a doc_id with labels 0 and 1 is not trusted. Extra
-columns are kept (by judge() unless it makes one of that name); names that start with `_q_` are reserved.
+gives no rows. Ids may be of any type. Labels with a null doc_id or quality are not read; a doc_id with labels 0 and 1 is
+not trusted. Extra columns are kept (by judge() unless it makes one of that name); names that start with `_q_` are reserved.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACES, load, set_aside
+from .common import SPACES, load, materialise, set_aside
 
 BUCKETS = 1 << 13
 TRUSTED_ROWS = 20_000
@@ -47,21 +50,28 @@ def bucket(*parts: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most `rows` doc_ids labelled quality 1."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def id_type(df: DataFrame, labels: DataFrame) -> str:
+    """The type in which ids of both are compared."""
+    return "long" if all(isinstance(x.schema["doc_id"].dataType, T.IntegralType) for x in (df, labels)) else "string"
 
 
-def held_back(doc_id: str = "doc_id") -> Column:
+def held_back(doc_id: str) -> Column:
     """Trusted rows that set the threshold; the others fit the target."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
 
+def trusted_ids(labels: DataFrame, kind: str) -> DataFrame:
+    """_q_id: the doc_ids labelled quality 1 and not 0."""
+    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast(kind).alias("_q_id")).agg(F.min("quality").alias("q")).where("q = 1")
+    return good.select("_q_id")
+
+
 def bucket_counts(df: DataFrame, labels: DataFrame, text: str, buckets: int, trusted_rows: int) -> DataFrame:
     """bucket, raw, target: how often all and the fitted trusted rows' words and pairs fall into it."""
-    trusted = F.broadcast(trusted_ids(labels, trusted_rows).where(~held_back()).select(F.col("doc_id").alias("_q_id"), F.lit(1).alias("_q_on")))
-    each = df.select(F.col("doc_id").cast("long").alias("_q_doc"), words(text).alias("w")).join(trusted, F.col("_q_doc") == F.col("_q_id"), "left")
+    kind = id_type(df, labels)
+    few = trusted_ids(labels, kind).where(~held_back("_q_id")).orderBy(F.xxhash64("_q_id"), "_q_id").limit(trusted_rows)
+    trusted = F.broadcast(few.withColumn("_q_on", F.lit(1)))  # at most trusted_rows
+    each = df.select(F.col("doc_id").cast(kind).alias("_q_doc"), words(text).alias("w")).join(trusted, F.col("_q_doc") == F.col("_q_id"), "left")
     each = each.select("_q_on", "w", F.posexplode("w").alias("i", "a")).select("_q_on", "a", F.get("w", F.col("i") + 1).alias("b"))
     pair = F.when(F.col("b").isNotNull(), bucket("a", "b", buckets=buckets))
     each = each.select("_q_on", F.explode(F.array(bucket("a", buckets=buckets), pair)).alias("bucket")).where("bucket is not null")
@@ -109,34 +119,30 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_q_lines", "_q_h", "_q_s", "_q_at")
 
 
-def judge(df: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, spread: float = SPREAD) -> DataFrame:
+def judge(df: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, spread: float = SPREAD, keep_text: bool = True) -> DataFrame:
     """df with the base counts, base_failed, score, threshold, method_failed, kept."""
     table = log_ratios(bucket_counts(df, labels, text, buckets, trusted_rows), buckets).first()["ratios"]
     ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")  # folded to a literal: lambdas take no subquery
-    trusted = F.broadcast(trusted_ids(labels, trusted_rows).where(held_back()).select(F.col("doc_id").alias("_q_id")))
-    known = df.select(F.col("doc_id").cast("long").alias("_q_doc"), words(text).alias("w")).join(trusted, F.col("_q_doc") == F.col("_q_id"), "left_semi")
-    known = known.where(F.size("w") > 0).select(score("w", ratios, buckets).alias("s"))
-    least = known.agg((F.avg("s") - spread * F.coalesce(F.stddev_pop("s"), F.lit(0.0))).alias("t")).select(F.coalesce("t", F.lit(float("-inf"))).alias("t")).scalar()
-    out = features(df, text).withColumns({"score": score("_q_w", ratios, buckets), "threshold": least})
+    out = features(df, text).withColumn("score", score("_q_w", ratios, buckets)).drop("_q_w", *([] if keep_text else [text]))
+    out = materialise(out, "judged")
+    kind = id_type(df, labels)
+    back = trusted_ids(labels, kind).where(held_back("_q_id"))
+    known = out.where("n_words > 0").select(F.col("doc_id").cast(kind).alias("_q_doc"), "score").join(back, F.col("_q_doc") == F.col("_q_id"), "left_semi")
+    least = known.agg(F.avg("score") - spread * F.coalesce(F.stddev_pop("score"), F.lit(0.0))).first()[0]
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = out.withColumns({"base_failed": base, "method_failed": F.col("score") < F.col("threshold")})
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("method_failed")).drop("_q_w")
+    out = out.withColumns({"threshold": F.lit(float("-inf") if least is None else least), "base_failed": base})
+    out = out.withColumn("method_failed", F.col("score") < F.col("threshold"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("method_failed"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """df without its rejected rows.
-
-    The row number keeps the condition above the judgement: pushed below, its columns would be computed in place,
-    arrays inside lambdas among them.
-    """
+    """df without its rejected rows."""
     own, back = set_aside(df, MADE)
-    judged = judge(own, labels, **options).withColumn("_q_row", F.monotonically_increasing_id())
-    kept = judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select(*own.columns)
-    return kept.withColumnsRenamed(back)
+    return judge(own, labels, **options).where("kept").select(*own.columns).withColumnsRenamed(back)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"))
+    judged = judge(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
