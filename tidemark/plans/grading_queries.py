@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import SEED, rule
+from ..config import N_BOOT, N_SHUFFLE, SEED, rule
 from ..operators import controls, evaluate, ledger, signals, stats, windows
 from ..sources import bars as src
 from . import sql
@@ -15,8 +15,8 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 query = query_into(QUERIES, ORACLE_SQL)
 
-DRAWS = 400
-SHUFFLES = 20
+DRAWS = N_BOOT
+SHUFFLES = N_SHUFFLE
 PERIODS = [f"{a}/{b}" for a, b in windows.PERIODS]
 LABELS = ", ".join(f"'{p}'" for p in PERIODS)
 
@@ -125,9 +125,9 @@ def untestable(spark, sf_dir):
     return rounded(confirmed(spark, sf_dir).select("cell", F.array_join(F.col("untestable").cast("array<string>"), ",").alias("untestable"), "p"))
 
 
-@query("holm", "WITH p AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ord, (c_custkey * 7919 % 1009) / 2018.0::double AS p FROM customer WHERE c_custkey <= 40), k AS (SELECT *, row_number() OVER (ORDER BY p, ord) AS k, count(*) OVER () AS m FROM p) SELECT CAST(ord AS BIGINT) AS ord, p, round(least(1.0::double, max((m - k + 1) * p) OVER (ORDER BY k)), 8) AS p_holm FROM k")
+@query("holm", "WITH p AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ord, (c_custkey * 7919 % 1009) / 2018.0::double AS p FROM customer), k AS (SELECT *, row_number() OVER (ORDER BY p, ord) AS k, count(*) OVER () AS m FROM p) SELECT CAST(ord AS BIGINT) AS ord, p, round(least(1.0::double, max((m - k + 1) * p) OVER (ORDER BY k)), 8) AS p_holm FROM k")
 def holm(spark, sf_dir):
-    own = src.load(spark, sf_dir, "customer").where("c_custkey <= 40")
+    own = src.load(spark, sf_dir, "customer")
     ranked = own.select("c_custkey", ((F.col("c_custkey") * 7919 % 1009) / F.lit(2018.0)).alias("p"))
     from pyspark.sql import Window
 

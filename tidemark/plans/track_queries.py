@@ -129,12 +129,12 @@ def introducing_version(spark, sf_dir):
     return track.introducing_version(versions(spark, sf_dir))
 
 
-@query("ancestry", "WITH RECURSIVE commits AS (SELECT c_custkey AS child, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 0 UNION SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey > 0 AND c_custkey % 5 = 0), reach(head, sha) AS (SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 100 = 0 UNION SELECT head, parent FROM reach JOIN commits ON child = sha) SELECT head, sha FROM reach")
+@query("ancestry", "WITH RECURSIVE commits AS (SELECT c_custkey AS child, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 0 UNION SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey > 0 AND c_custkey % 5 = 0), reach(head, sha) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT head, parent FROM reach JOIN commits ON child = sha) SELECT head, sha FROM reach")
 def ancestry(spark, sf_dir):
     key = src.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"))
     commits = key.where("child > 0").select("child", F.floor(F.col("child") / 2).alias("parent")).unionByName(key.where("child > 0 and child % 5 = 0").select("child", F.floor(F.col("child") / 3).alias("parent"))).distinct()
     ensure_checkpoints(spark)
-    return track.ancestors(key.where("child % 100 = 0").select(F.col("child").alias("head")), commits)
+    return track.ancestors(key.select(F.col("child").alias("head")), commits)
 
 
 def ensure_checkpoints(spark) -> None:
@@ -147,7 +147,7 @@ def ensure_checkpoints(spark) -> None:
 # publication: orders are rows, their commit is their month; commits of even months are public; pushes come from lineitem
 STATE_SQL = """o AS (SELECT o_orderkey AS row_hash, CAST(o_orderdate AS date) AS \"asof\", year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders),
 intro AS (SELECT row_hash, m AS sha FROM o WHERE row_hash % 10 <> 3),
-push AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS sha, min(l_shipdate) AS published_at FROM lineitem WHERE l_suppkey % 50 = 0 GROUP BY 1),
+push AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS sha, min(l_shipdate) AS published_at FROM lineitem GROUP BY 1),
 st AS (SELECT o.row_hash, \"asof\", i.sha, CASE WHEN i.sha % 4 <> 0 THEN published_at END AS pub,
   timezone('UTC', timezone('America/New_York', (\"asof\" + CASE dayofweek(\"asof\") WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END)::timestamp + INTERVAL 570 MINUTE)) AS dl, coalesce(i.sha % 4 <> 0, false) AS vis
   FROM o LEFT JOIN intro i USING (row_hash) LEFT JOIN push USING (sha)),
@@ -159,7 +159,7 @@ def states(spark, sf_dir) -> DataFrame:
     rows = src.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_hash"), F.to_date("o_orderdate").alias("asof"), month("o_orderdate").alias("sha"))
     intro = rows.where("row_hash % 10 <> 3").select("row_hash", "sha")
     public = rows.select("sha").distinct().where("sha % 4 <> 0")
-    pushes = src.load(spark, sf_dir, "lineitem").where("l_suppkey % 50 = 0").select(month("l_shipdate").alias("head_sha"), F.col("l_shipdate").cast("timestamp").alias("push_time"), F.array().cast("array<bigint>").alias("commits"))
+    pushes = src.load(spark, sf_dir, "lineitem").select(month("l_shipdate").alias("head_sha"), F.col("l_shipdate").cast("timestamp").alias("push_time"), F.array().cast("array<bigint>").alias("commits"))
     reach = pushes.select(F.col("head_sha").alias("head"), F.col("head_sha").alias("sha")).distinct()
     return track.publication_state(rows.drop("sha"), intro, public, reach, pushes)
 
