@@ -718,8 +718,8 @@ def test_runs_of_one_key_share_their_features():
     emit, step = rng.normal(size=(secret_scan.WIDTH + 1, 3)).astype(np.float32), np.zeros((2, 3, 3))
     emit[-1] = 0
     texts = ["The quick, brown (fox) said: token=Xk9v-Q2 the key", "", "één 日本語 Straße's 12.5 12/34/5678 99.1 A_b a--b", " ".join("".join(rng.choice(list("aZ9-.é "), 9)) for _ in range(300))]
-    for block, runs_kept in ((50_000, 400_000), (7, 5)):
-        secret_scan.BLOCK, secret_scan.TABLE_RUNS, old = block, runs_kept, (50_000, 400_000)
+    for block, runs_kept in ((50_000, 600_000), (7, 5)):
+        secret_scan.BLOCK, secret_scan.TABLE_RUNS, old = block, runs_kept, (50_000, 600_000)
         runs = secret_scan.Runs(emit, known, rx)
         for t in texts:
             spots, features, apart = secret_scan.sequence(t, 3, rx, known)

@@ -28,6 +28,7 @@ import math
 import random
 import re
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, materialise
+from .common import load, materialise, worker_state
 
 KINDS = ("assign", "access", "hex", "field")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -59,12 +60,12 @@ WORDS, WORD_SEEN = 3000, 5
 WIDTH = 1 << 17
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Runs, their tokens and characters whose scores a worker keeps.
-TABLE_RUNS, TABLE_TOKENS, TABLE_CHARS = 400_000, 1_000_000, 20_000_000
+TABLE_RUNS, TABLE_TOKENS, TABLE_CHARS = 600_000, 1_000_000, 20_000_000
 BLOCK = 50_000
 
 
 def patterns() -> dict:
-    return {"assign": re.compile(ASSIGN, re.I | re.A), "access": re.compile(ACCESS), "hex": re.compile(HEX), "chunk": re.compile(CHUNK), "token": re.compile(TOKEN), "run": re.compile(r"\S+"), "digit": re.compile(r"\S*[0-9]"), "plain": re.compile(r"([^\w\s]*)([^\W\d_]+)([^\w\s]*)"), "letter": re.compile(r"[^\W\d_]"), "base16": re.compile("[0-9a-fA-F]+")}
+    return {"assign": re.compile(ASSIGN, re.I | re.A), "access": re.compile(ACCESS), "hex": re.compile(HEX), "chunk": re.compile(CHUNK), "token": re.compile(TOKEN), "run": re.compile(r"\S+"), "digit": re.compile(r"[0-9]"), "plain": re.compile(r"([^\w\s]*)([^\W\d_]+)([^\w\s]*)"), "letter": re.compile(r"[^\W\d_]")}
 
 
 def base_spans(text: str, rx: dict, chunks: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
@@ -93,8 +94,12 @@ def classes(s: str) -> str:
     return "".join("d" if "0" <= c <= "9" else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "x" if c.isalnum() else c for c in s)
 
 
+LONG = [n if n < 4 else 4 + int(2 * math.log2(n / 4)) for n in range(65)]
+
+
 def long(n: int) -> int:
-    return n if n < 4 else 4 + int(2 * math.log2(min(n, 64) / 4))
+    """The class of a length."""
+    return LONG[n] if n < 64 else LONG[64]
 
 
 def shape(s: str) -> str:
@@ -122,21 +127,32 @@ def vowels(word: str) -> int:
     return 5 * (len(word) - len(word.translate(VOWELS))) // len(word)
 
 
-def plain(run: str, rx: dict) -> re.Match | None:
+def base16(word: str) -> bool:
+    return not word.strip("0123456789abcdefABCDEF")
+
+
+def plain(run: str, rx: dict) -> tuple[str, str, str] | None:
     """Marks, one word in one case (or with a capital), marks."""
-    m = rx["plain"].fullmatch(run)
-    return m if m and (m[2][1:] == m[2][1:].lower() or m[2] == m[2].upper()) else None
+    if run.isalpha():
+        parts = "", run, ""
+    elif m := rx["plain"].fullmatch(run):
+        parts = m.groups()
+    else:
+        return None
+    word = parts[1]
+    low = word.lower()
+    return parts if word == low or word[1:] == low[1:] or word == word.upper() else None
 
 
 def key_of(run: str, rx: dict, known: frozenset[str]) -> str | tuple:
     """Runs of one key have the same features: words not among the known ones count by form, digits all alike."""
-    if m := plain(run, rx):
-        lead, word, trail = m.groups()
+    if parts := plain(run, rx):
+        lead, word, trail = parts
         low = word.lower()
         if low in known:
             return run
-        case = 0 if word == low else 1 if word[1:] == low[1:] else 2
-        return lead, trail, case, word.isascii(), long(len(word)), vowels(word[:200]), bool(rx["base16"].fullmatch(word[:200]))
+        part = word if len(word) <= 200 else word[:200]
+        return lead, trail, 0 if word == low else 1 if word[1:] == low[1:] else 2, word.isascii(), long(len(word)), vowels(part), base16(part)
     return run if rx["letter"].search(run) else run.translate(NINES)
 
 
@@ -160,7 +176,7 @@ def run_features(run: str, rx: dict, known: frozenset[str]) -> tuple[list[tuple[
             part = w[:200]
             if not simple:
                 x += [f"spread {spread(part)} {long(len(w))}", f"switches {switches(part)} {long(len(w))}"]
-            x += [f"vowels {vowels(part)} {long(len(w))} {part.isalpha()}", f"hex {bool(rx['base16'].fullmatch(part))} {part.isdigit()}"]
+            x += [f"vowels {vowels(part)} {long(len(w))} {part.isalpha()}", f"hex {base16(part)} {part.isdigit()}"]
             back = next((v for v in reversed(words[max(0, i - 3) : i]) if v.isalnum()), "")
             x += [f"key {name(back)}", f"word {name(w)}"]
         own.append(numbered(x + whole))
@@ -177,9 +193,14 @@ def file_features(n_chunks: int) -> list[int]:
     return numbered([f"file {min(n_chunks, 8)}"])
 
 
-def sequence(text: str, n_chunks: int, rx: dict, known: frozenset[str]) -> tuple[list[tuple[int, int]], list[list[int]], list[int]]:
+def sequence(text: str, n_chunks: int, rx: dict, known: frozenset[str], kept: dict | None = None) -> tuple[list[tuple[int, int]], list[list[int]], list[int]]:
     """Of a short text: its tokens' places and features, and whether a separator stands before them (1) or not (0)."""
-    runs = [(m.start(), *run_features(m[0], rx, known)) for m in rx["run"].finditer(text)]
+    kept = {} if kept is None else kept  # by run
+    runs = []
+    for m in rx["run"].finditer(text):
+        if m[0] not in kept:
+            kept[m[0]] = run_features(m[0], rx, known)
+        runs.append((m.start(), *kept[m[0]]))
     places, features, apart = [], [], []
     for k, (at, own, rows, _) in enumerate(runs):
         around = (runs[k - 1][3][0] if k else EDGE[0]) + (runs[k - 2][3][1] if k > 1 else EDGE[1]) + (runs[k + 1][3][2] if k + 1 < len(runs) else EDGE[2]) + file_features(n_chunks)
@@ -297,15 +318,17 @@ def viterbi(scores: np.ndarray, apart: np.ndarray, step: np.ndarray, before: int
 def sure(scores: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Tokens that are outside in the best path.
 
-    Take a path with a secret token and make it outside; if the next token was inside, make that one a begin. No more than
-    three steps change, each by no more than the range of their weights, and the next token's score. What gains more than
-    that cannot be secret in the best path.
+    Take a path with a secret token and make it outside; if the next token was inside, make that one a begin. The steps to the
+    token, from it and, if the next tag changes too, from the next one, lose no more than the greatest differences of their
+    weights, and the next token its difference of scores. What gains more than that cannot be secret in the best path.
     """
     gain = scores[:, OUT] - scores[:, 1:].max(axis=1)
-    reach = 3 * (step.max() - step.min())
-    turn = np.zeros(len(scores))
-    turn[:-1] = np.maximum(0.0, scores[1:, INSIDE] - scores[1:, BEGIN])
-    return gain > reach + turn + 1e-6
+    to = max(0.0, (step[:, :, BEGIN] - step[:, :, OUT]).max(), (step[:, 1:, INSIDE] - step[:, 1:, OUT]).max())
+    on = max(0.0, (step[:, 1:, :INSIDE] - step[:, :1, :INSIDE]).max())
+    turned = (step[:, 1:, INSIDE] - step[:, :1, BEGIN]).max() + max(0.0, (step[:, INSIDE] - step[:, BEGIN]).max())
+    least = np.full(len(scores), to + on)
+    least[:-1] = np.maximum(least[:-1], to + turned + scores[1:, INSIDE] - scores[1:, BEGIN])
+    return gain > least + 1e-6
 
 
 def decode(scores: np.ndarray, apart: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -460,7 +483,7 @@ def values_of(text: str, rx: dict) -> list[tuple[int, int, tuple[int, int] | Non
     return sorted(out)
 
 
-def lesson(passage: str, n_chunks: int, seed: int, rx: dict, known: frozenset[str]) -> tuple[list, list, list]:
+def lesson(passage: str, n_chunks: int, seed: int, rx: dict, known: frozenset[str], kept: dict | None = None) -> tuple[list, list, list]:
     """A chain to learn from: features, tags, kinds of step."""
     rng, found = random.Random(seed), values_of(passage, rx)
     words = [w for w in re.findall(r"[^\W\d_]+", passage) if 2 < len(w) < 13] or ["some", "other", "words"]
@@ -485,7 +508,7 @@ def lesson(passage: str, n_chunks: int, seed: int, rx: dict, known: frozenset[st
         else:
             extra = made_up_harmless(rng, words)
         passage, n_chunks = passage[:at] + extra + " " + passage[at:], n_chunks + sum(b - a >= 16 for a, b in places)
-    spots, features, apart = sequence(passage, n_chunks, rx, known)
+    spots, features, apart = sequence(passage, n_chunks, rx, known, kept)
     tags = []
     for a, b in spots:
         own = next((p for p, q in places if a < q and b > p), None)
@@ -499,6 +522,10 @@ def passages(df: DataFrame, text: str, n: int) -> list[tuple[str, int, str, int]
 
     def around(x: str, a: int, b: int) -> str | None:
         """The runs that lie in reach of [a, b), whole; nothing if the ones in the middle are very long."""
+        while a and b - a < 2 * PASSAGE and not x[a - 1].isspace():
+            a -= 1
+        while b < len(x) and b - a < 2 * PASSAGE and not x[b].isspace():
+            b += 1
         lo, hi = max(0, a - PASSAGE), min(len(x), b + PASSAGE)
         while lo and not x[lo - 1].isspace() and lo < a:
             lo += 1
@@ -513,18 +540,19 @@ def passages(df: DataFrame, text: str, n: int) -> list[tuple[str, int, str, int]
         for batch in batches:
             for x in batch.column(0):
                 x = x.as_py() or ""
-                if not x:
+                h = xxhash.xxh64_intdigest(x) >> 1
+                if not x or h >= max(limit.values()):
                     continue
-                every, h = chunks_of(x, rx), xxhash.xxh64_intdigest(x) >> 1
+                every = chunks_of(x, rx)
                 at, spans = h % len(x), base_spans(x, rx, every)
                 digit = rx["digit"].search(x, at) or rx["digit"].search(x)
                 for kind, spot in (("match", spans[h % len(spans)][1:] if spans else None), ("digit", digit.span() if digit else None), ("any", (at, at))):
                     if spot is None or h >= limit[kind] or (passage := around(x, *spot)) is None:
                         continue
                     kept[kind][h] = (passage, len(every))
-                    if len(kept[kind]) > 4 * n:
+                    if len(kept[kind]) > n + 200:
                         kept[kind] = dict(sorted(kept[kind].items())[:n])
-                        limit[kind] = max(kept[kind]) + 1
+                        limit[kind] = max(kept[kind])
         rows = [(k, h, *r) for k, own in kept.items() for h, r in sorted(own.items())[:n]]
         columns = list(zip(*rows)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["kind", "h", "passage", "n_chunks"])
@@ -543,7 +571,8 @@ def vocabulary(texts: list[str]) -> frozenset[str]:
 def learn(found: list[tuple[str, int, str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Weights of tokens' features and of steps, and the known words, from passages."""
     rx, known = patterns(), vocabulary([p for _, _, p, _ in found])
-    chains = [lesson(p, n_chunks, LESSONS * h + k, rx, known) for _, h, p, n_chunks in found for k in range(LESSONS)]
+    kept: dict = {}  # of the passages' runs: bounded as they are
+    chains = [lesson(p, n_chunks, LESSONS * h + k, rx, known, kept) for _, h, p, n_chunks in found for k in range(LESSONS)]
     return *fit([c for c in chains if c[1]], epochs), sorted(known)
 
 
@@ -557,6 +586,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def find_secrets(df: DataFrame, field: tuple[np.ndarray, np.ndarray, list[str]], text: str = "text") -> DataFrame:
     """df with spans (kind, start, end), by start, then kind, and n_tagged."""
     sent = df.sparkSession.sparkContext.broadcast((field[0].astype(np.float32), *field[1:]))  # arrays and words only: workers need no class to read them
+    name = uuid.uuid4().hex
     rest = [c for c in df.columns if c not in ("spans", "n_tagged")]
     at = rest.index(text)
     schema = T.StructType([*df.select(*rest).schema, T.StructField("spans", SPANS), T.StructField("n_tagged", T.LongType())])
@@ -565,7 +595,10 @@ def find_secrets(df: DataFrame, field: tuple[np.ndarray, np.ndarray, list[str]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rx = patterns()
         emit, step, known = sent.value
-        runs = Runs(emit, frozenset(known), rx)
+        state = worker_state()  # a worker keeps its table over all tasks of this field
+        if state.get("field") != name:
+            state["field"], state["runs"] = name, Runs(emit, frozenset(known), rx)
+        runs = state["runs"]
         for batch in batches:
             found, n_tagged = [], []
             for x in batch.column(at):
