@@ -1,16 +1,19 @@
 """Ledgers over paths, and metrics of net asset values.
 
-A path is traded from full investment at the close of t = 0. `fold` is the general ledger: an ordered fold over each
-path's array of days. `segments` is a closed form for two-level targets, with window functions only.
+A path is traded from full investment at the close of t = 0. `ledger` is the general one: each path's days pass in order
+through a task, in Arrow batches. `segment_nav` is a closed form for two-level targets, with window functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..config import COST, REBALANCE_THRESHOLD, TRADING_DAYS
-from .signals import should_rebalance
+from ..config import COST, REBALANCE_THRESHOLD, TOLERANCE, TRADING_DAYS
 
 RULES = ("never", "threshold", "change", "daily", "once")
 METRICS = ("ret", "mdd", "cagr", "calmar", "vol", "avg_w", "sharpe")
@@ -40,58 +43,49 @@ def trade(n: Column, m: Column, o: Column, w: Column, cost: float) -> Column:
     )
 
 
-def decide(rule: str, t: Column, target: Column, previous: Column, drifted: Column, threshold: float) -> Column:
-    if rule == "never":
-        return F.lit(False)
-    if rule == "threshold":
-        return should_rebalance(target, drifted, threshold)
-    if rule == "change":
-        return target != previous
-    if rule == "daily":
-        return F.lit(True)
-    if rule == "once":
-        return t == 1
-    raise ValueError(f"unknown rebalance rule {rule!r}")
-
-
-def fold(paths: DataFrame, rule: str = "threshold", cost: float = COST, threshold: float = REBALANCE_THRESHOLD, keys=("period", "symbol")) -> DataFrame:
-    """keys and nav: array of (t, v, w, paid, trades), the running cost and number of trades in paid and trades."""
-    day = F.struct("t", "o", "c", "target")
-    own = paths.groupBy(*keys).agg(F.sort_array(F.collect_list(day)).alias("days"))
-    row = lambda t, v, w, paid, trades: F.struct(t.alias("t"), v.alias("v"), w.alias("w"), paid.alias("paid"), trades.alias("trades"))
-    zero, one = F.lit(0.0), F.lit(1.0)
-    start = F.struct(
-        (one / F.col("days")[0]["c"]).alias("n"), zero.alias("m"), one.alias("previous"), zero.alias("paid"), F.lit(0).alias("trades"),
-        F.array(row(F.lit(0), one, one, zero, F.lit(0))).alias("nav"),
-    )
-
-    def step(s: Column, d: Column) -> Column:
-        held = s["n"] * d["o"]
-        go = decide(rule, d["t"], d["target"], s["previous"], held / (held + s["m"]), threshold)
-        still = F.struct(s["n"].alias("n"), s["m"].alias("m"), zero.alias("x"), zero.alias("fee"))
-        traded = still if rule == "never" else F.when(go, trade(s["n"], s["m"], d["o"], d["target"], cost)).otherwise(still)
-
-        def after(x: Column) -> Column:
-            value = x["n"] * d["c"] + x["m"]
-            paid, trades = s["paid"] + x["fee"], s["trades"] + (x["x"] > 0).cast("int")
-            return F.struct(
-                x["n"].alias("n"), x["m"].alias("m"), d["target"].alias("previous"), paid.alias("paid"), trades.alias("trades"),
-                F.concat(s["nav"], F.array(row(d["t"], value, x["n"] * d["c"] / value, paid, trades))).alias("nav"),
-            )
-
-        return let(traded, after)
-
-    rest = F.slice("days", 2, F.greatest(F.size("days") - 1, F.lit(0)))
-    return own.select(*keys, F.aggregate(rest, start, step, lambda s: s["nav"]).alias("nav"))
-
-
-def nav_rows(folded: DataFrame, keys=("period", "symbol")) -> DataFrame:
-    """keys, t, v, w, paid, trades."""
-    return folded.select(*keys, F.explode("nav").alias("x")).select(*keys, "x.*")
-
-
 def ledger(paths: DataFrame, rule: str = "threshold", cost: float = COST, threshold: float = REBALANCE_THRESHOLD, keys=("period", "symbol")) -> DataFrame:
-    return nav_rows(fold(paths, rule, cost, threshold, keys), keys)
+    """keys, t, v, w, paid, trades: net asset value and weight by day, the running cost and number of trades.
+
+    A day needs the shares and cash of the day before, so each path's days pass in order through one task, which keeps the
+    state of one path only: time is linear in a path's length, and no path is held whole.
+    """
+    if rule not in RULES:
+        raise ValueError(f"unknown rebalance rule {rule!r}")
+    names = [*keys, "t", "v", "w", "paid", "trades"]
+    schema = T.StructType([*(paths.schema[k] for k in keys), T.StructField("t", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("v", "w", "paid")), T.StructField("trades", T.IntegerType())])
+    least = threshold - TOLERANCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, n, m, previous, paid, trades = None, 0.0, 0.0, 1.0, 0.0, 0
+        for batch in batches:
+            out = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                key, (t, o, c, target) = row[: len(keys)], row[len(keys) :]
+                if key != path:
+                    path, n, m, previous, paid, trades = key, 1.0 / c, 0.0, 1.0, 0.0, 0
+                    out.append((t, 1.0, 1.0, 0.0, 0))
+                    continue
+                held = n * o
+                go = rule == "daily" or rule == "once" and t == 1 or rule == "change" and target != previous or rule == "threshold" and abs(target - held / (held + m)) >= least
+                previous = target
+                if go:
+                    goal, cap = target * (held + m), m / (1 + cost)
+                    x = min(max(goal - held, 0.0), cap)
+                    if held > goal:
+                        x = held - goal
+                        n, m = n - x / o, m + (x - cost * x)
+                    elif x < cap:
+                        n, m = n + x / o, m - (1 + cost) * x
+                    else:
+                        n, m = n + x / o, 0.0
+                    paid, trades = paid + cost * x, trades + (x > 0)
+                value = n * c + m
+                out.append((t, value, n * c / value, paid, trades))
+            made = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(x, k) for x, k in zip(made, (pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32())))], names=names)
+
+    days = paths.select(*keys, F.col("t").cast("int").alias("t"), *[F.col(c).cast("double").alias(c) for c in ("o", "c", "target")])
+    return days.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(run, schema)
 
 
 def segment_nav(paths: DataFrame, segments: DataFrame, low: float = 0.5, cost: float = COST, keys=("period", "symbol")) -> DataFrame:

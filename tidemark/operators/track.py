@@ -6,12 +6,17 @@ sequential, and only over a chain's new rows; verification is one window over ea
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: The hash before a chain's first row, states of publication, types of activity.
 ZERO = "0" * 64
 STATES = ("unpublished", "published_unverified", "late", "forward")
 ACTIVITY_TYPES = ("push", "force_push", "branch_creation")
@@ -42,19 +47,28 @@ def row_hash(canon: Column, previous: Column) -> Column:
 def seal(rows: DataFrame, chain: list[str], head: Column | None = None) -> DataFrame:
     """rows (chain, seq, canon) with prev_hash and row_hash; head: the last stored hash of the chain.
 
-    A fold over each chain's new rows in order; chains are independent.
+    A hash needs the one before, so a chain's new rows pass in order through one task, which keeps one hash: time is linear
+    in the rows, and no chain is held whole. Chains are independent.
     """
-    start = F.struct(F.lit(ZERO).alias("last") if head is None else F.coalesce(head, F.lit(ZERO)).alias("last"), F.array().cast("array<struct<seq: bigint, prev_hash: string, row_hash: string>>").alias("out"))
-    own = rows.groupBy(*chain, *([] if head is None else [head.alias("_head")])).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "canon"))).alias("rows"))
-    if head is not None:
-        start = F.struct(F.coalesce("_head", F.lit(ZERO)).alias("last"), F.array().cast("array<struct<seq: bigint, prev_hash: string, row_hash: string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        now = row_hash(x["canon"], s["last"])
-        return F.struct(now.alias("last"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), s["last"].alias("prev_hash"), now.alias("row_hash")))).alias("out"))
-
-    hashed = own.select(*chain, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(*chain, "x.*")
-    return rows.withColumn("seq", F.col("seq").cast("long")).join(hashed, [*chain, "seq"])
+    own = rows.withColumns({"seq": F.col("seq").cast("long"), "_head": F.lit(ZERO) if head is None else F.coalesce(head, F.lit(ZERO))})
+    names = [c for c in own.columns if c != "_head"]
+    schema = T.StructType([*(own.schema[c] for c in names), T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())])
+    at = [own.columns.index(c) for c in (*chain, "canon", "_head")]
+    keep = [own.columns.index(c) for c in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            before, after = [], []
+            for row in zip(*[batch.column(k).to_pylist() for k in at]):
+                if row[:-2] != key:
+                    key, last = row[:-2], row[-1]
+                before.append(last)
+                last = hashlib.sha256("\x1e".join(x for x in (row[-2], last) if x is not None).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*names, "prev_hash", "row_hash"])
+
+    return own.repartition(*chain).sortWithinPartitions(*chain, "seq").mapInArrow(run, schema)
 
 
 def verify(rows: DataFrame, chain: list[str], unique: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
