@@ -52,12 +52,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*written: DataFrame) -> None:
-    """Deletes what materialise() wrote for these frames. They and what was made of them lazily cannot be read again."""
+    """Deletes what materialise() wrote for these frames. They and what was made of them lazily cannot be read again.
+
+    Plans that only they needed are let go, so that Spark's cleaner can drop their shuffle files.
+    """
     for df in written:
         jvm = df.sparkSession.sparkContext._jvm
         for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             place = jvm.org.apache.hadoop.fs.Path(file)
             place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        jvm.System.gc()
 
 
 def worker_state() -> dict:

@@ -11,8 +11,7 @@ The target is fitted to four fifths of the trusted rows, by crc32 of doc_id: to
 to that many of least hash. The threshold is the mean score of all trusted rows of the last fifth, which the fit
 has not seen, less `spread` standard deviations (none without such rows: then only the base rules reject). Scores of good texts
 have a long lower tail, hence the wide spread; the README gives the figures. The tables that the tasks need have `buckets`
-numbers. Texts are read twice, to count and to judge; scores and base counts are written before the threshold is
-taken from them.
+numbers.
 
 Null texts have no words, fail the base rule and score 0. Repeated rows count and are judged one by one; an empty table
 gives no rows. Ids may be of any type. Labels with a null doc_id or quality are not read; a doc_id with labels 0 and 1 is
@@ -120,14 +119,22 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def judge(df: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, spread: float = SPREAD, keep_text: bool = True) -> DataFrame:
-    """df with the base counts, base_failed, score, threshold, method_failed, kept."""
+    """df with the base counts, base_failed, score, threshold, method_failed, kept.
+
+    Without the text, the result is small: it is written, and the threshold is taken from it. With it, the scores are computed
+    twice, as the texts would have to be written too.
+    """
     table = log_ratios(bucket_counts(df, labels, text, buckets, trusted_rows), buckets).first()["ratios"]
     ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")  # folded to a literal: lambdas take no subquery
-    out = features(df, text).withColumn("score", score("_q_w", ratios, buckets)).drop("_q_w", *([] if keep_text else [text]))
-    out = materialise(out, "judged")
     kind = id_type(df, labels)
+    out = features(df, text).withColumn("score", score("_q_w", ratios, buckets)).drop("_q_w")
+    if keep_text:
+        known = df.select("doc_id", words(text).alias("_q_w")).where(F.size("_q_w") > 0).select("doc_id", score("_q_w", ratios, buckets).alias("score"))
+    else:
+        out = materialise(out.drop(text), "judged")
+        known = out.where("n_words > 0")
     back = trusted_ids(labels, kind).where(held_back("_q_id"))
-    known = out.where("n_words > 0").select(F.col("doc_id").cast(kind).alias("_q_doc"), "score").join(back, F.col("_q_doc") == F.col("_q_id"), "left_semi")
+    known = known.select(F.col("doc_id").cast(kind).alias("_q_doc"), "score").join(back, F.col("_q_doc") == F.col("_q_id"), "left_semi")
     least = known.agg(F.avg("score") - spread * F.coalesce(F.stddev_pop("score"), F.lit(0.0))).first()[0]
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumns({"threshold": F.lit(float("-inf") if least is None else least), "base_failed": base})
@@ -136,9 +143,14 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", buckets: int = B
 
 
 def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """df without its rejected rows."""
+    """df without its rejected rows.
+
+    The row number keeps the condition above the judgement: pushed below, its columns would be computed in place,
+    arrays inside lambdas among them.
+    """
     own, back = set_aside(df, MADE)
-    return judge(own, labels, **options).where("kept").select(*own.columns).withColumnsRenamed(back)
+    judged = judge(own, labels, **options).withColumn("_q_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select(*own.columns).withColumnsRenamed(back)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

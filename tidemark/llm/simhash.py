@@ -52,7 +52,7 @@ FRONTIER = 500_000
 MARKS = 1 << 26
 NEAR = 1e-9
 #: Words of the masks; too few cost time, not links.
-MASK_WORDS = 8
+MASK_WORDS = 16
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
