@@ -167,7 +167,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["snapshot", "A", "--bars", str(tmp_path / "csv"), "--format", "json"]) == 0
     assert json.loads(capsys.readouterr().out)["results"][0]["bars"] == 300
     bars.write_table(own, str(tmp_path / "t"))
-    assert cli.main(["snapshot", "A", "B", "--bars", str(tmp_path / "t")]) == 1
+    assert cli.main(["snapshot", "A", "B", "--bars", str(tmp_path / "t")]) == 0 and cli.main(["snapshot", "B", "--bars", str(tmp_path / "t")]) == 1
     assert cli.main(["evidence", "--preset", "v"]) == 0 and "tested_drawdown_only" in capsys.readouterr().out
     for bad in (["snapshot", "A", "--below-sma", "0"], ["nonsense"], ["snapshot", "A", "--vol-floor", "2"]):
         with pytest.raises(SystemExit) as e:

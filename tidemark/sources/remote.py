@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import json
 import os
 import re
@@ -67,12 +68,25 @@ def fetch_bars(symbol: str, start: dt.date, stop: dt.date, transport: Callable,
     return None
 
 
-def bars_frame(spark: SparkSession, symbols: list[str], start: dt.date, stop: dt.date, transport: Callable, budget: Budget) -> tuple[DataFrame, dict[str, str]]:
-    """Bars of all symbols and a note for each that failed; a used-up budget ends the run with the rest noted."""
+def http_csv(template: str, opener: Callable | None = None) -> Callable:
+    """A transport that reads CSV (date, open, high, low, close, volume, with a header) from template's address, in which
+    {symbol}, {start} and {stop} are filled in."""
+
+    def transport(symbol: str, start: dt.date, stop: dt.date, timeout: float) -> pd.DataFrame:
+        with (opener or urllib.request.urlopen)(template.format(symbol=urllib.parse.quote(symbol), start=start, stop=stop), timeout=timeout) as answer:
+            own = pd.read_csv(io.BytesIO(answer.read())).iloc[:, : 1 + len(PRICES)]
+        return own.set_axis(["dt", *PRICES], axis=1)
+
+    return transport
+
+
+def bars_frame(spark: SparkSession, symbols: list[str], start: dt.date | dict[str, dt.date], stop: dt.date, transport: Callable, budget: Budget) -> tuple[DataFrame, dict[str, str]]:
+    """Bars of all symbols, from one day or from each one's own, and a note for each that failed; a used-up budget ends the
+    run with the rest noted."""
     frames, notes = [], {}
     for i, symbol in enumerate(symbols):
         try:
-            own = fetch_bars(symbol, start, stop, transport, budget)
+            own = fetch_bars(symbol, start[symbol] if isinstance(start, dict) else start, stop, transport, budget)
         except BudgetExceeded as e:
             notes |= {s: f"fetch budget exhausted ({e})" for s in symbols[i:]}
             break
@@ -129,6 +143,15 @@ def git_commits(spark: SparkSession, repository: str, *refs: str) -> DataFrame:
     return spark.createDataFrame([(c, p) for c, *parents in map(str.split, out.splitlines()) for p in parents], "child string, parent string")
 
 
+def git_reach(spark: SparkSession, repository: str, heads: list[str]) -> DataFrame:
+    """head, sha: the commits that each head reaches; heads that the repository does not have reach nothing."""
+    rows = []
+    for head in heads:
+        done = subprocess.run(["git", "-C", repository, "rev-list", head, "--"], capture_output=True, text=True)
+        rows += [(head, sha) for sha in done.stdout.split()] if done.returncode == 0 else []
+    return spark.createDataFrame(rows, "head string, sha string")
+
+
 def default_folder() -> str:
     """Where bars are kept: TIDEMARK_HOME, or a folder in the user's home."""
     return os.environ.get("TIDEMARK_HOME") or os.path.join(os.path.expanduser("~"), ".tidemark", "bars")
