@@ -1,9 +1,19 @@
+import json
+
 import numpy as np
 import pytest
 from helpers import PATHS, path_rows, random_walk
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, stats
+from tidemark import api
+from tidemark.functions.text import general
+from tidemark.operators import controls, evaluate, stats
+
+
+def test_general_number_format(spark):
+    numbers = [0.0, 0.75, 200.0, 1.0, -0.5, 1e-4, 1.25e-5, 123456.0, 1234567.0, 999999.5, 0.1 + 0.2, 1 / 3, 1e20, -2.5e-7, 100000.0, 1e6, float("inf")]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", general(F.col("x")).alias("s")).collect()
+    assert [r.s for r in rows] == [f"{x:g}" for x in numbers]
 
 
 def effects_frame(spark, g, h):
@@ -128,6 +138,20 @@ def test_segments_end_to_end(paths, source):
     assert {c.verdict for c in out["cells"].collect()} <= VERDICTS
 
 
+def test_evaluations_as_plain_rows(paths):
+    out = evaluate.evaluate_overlay(paths, ["p", "q"], n_boot=50)
+    plain = json.loads(json.dumps(api.evaluation_dict(out), default=str, allow_nan=False))
+    assert [c["name"] for c in plain["cells"]] == ["MDD", "Sharpe"] and len(plain["strategy"]) == len(plain["c_dagger"]) == 24 and "summary" not in plain
+    assert plain["cells"][0]["d"] == [pytest.approx(x) for x in out["cells"].orderBy("ord").head().d]
+
+
+def test_another_number_of_trades_is_an_error(paths, monkeypatch):
+    whole = controls.shuffles
+    monkeypatch.setattr(controls, "shuffles", lambda segs, *a, **k: whole(segs, *a, **k).where("not (r = 1 and symbol = 'S03' and period = 'q' and s < 60)"))
+    with pytest.raises(ValueError, match="S03"):
+        evaluate.evaluate_segments(paths, ["p", "q"], n_shuffle=3, n_boot=20)
+
+
 def test_cells_are_checked():
     for cells in ((), evaluate.SEGMENT_CELLS, (evaluate.Cell("x", "ret", evaluate.MATCHED, 1.0),), evaluate.OVERLAY_CELLS * 2):
         with pytest.raises(ValueError):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from .config import Rule
 from .operators import evidence, signals
 
+#: The columns of a snapshot.
 COLUMNS = ("symbol", "date", "close", "w", "w_vol", "wv", "above_sma200", "sma200", "sigma", "sigma_tgt", "vol_ratio", "bars", "first_bar", "error")
 
 
@@ -54,6 +56,13 @@ def markdown(rows: list[dict], columns: tuple[str, ...]) -> str:
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(number(r.get(c)) for c in columns) + " |" for r in rows)])
 
 
+def evaluation_dict(found: dict[str, DataFrame], tables: tuple[str, ...] = ("cells", "strategy", "summary", "c_dagger")) -> dict:
+    """An evaluation's tables as lists of plain rows, for JSON: cells in their order, the others by path."""
+    order = {"cells": ["ord"]}
+    plain = lambda x: [plain(y) for y in x] if isinstance(x, list) else None if isinstance(x, float) and not math.isfinite(x) else x
+    return {k: [{c: plain(v) for c, v in r.asDict(True).items()} for r in found[k].orderBy(*order.get(k, ["period", "symbol"])).collect()] for k in tables if k in found}
+
+
 def grading_markdown(cells: DataFrame) -> str:
     """The graded cells of an evaluation as a Markdown table."""
     rows = [r.asDict() for r in cells.orderBy("ord").collect()]

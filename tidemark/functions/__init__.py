@@ -1,0 +1 @@
+"""Column functions that more than one operator uses."""

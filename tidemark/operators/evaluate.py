@@ -86,8 +86,8 @@ def shuffled_metrics(paths: DataFrame, placed: DataFrame, low: DataFrame, cost:
 
 
 def shuffle_summary(metrics: DataFrame) -> DataFrame:
-    """keys, draws, and the means of the metrics over draws; undefined sharpe and calmar are left out."""
-    return metrics.groupBy(*KEYS).agg(F.count("*").alias("draws"), *[F.avg(m).alias(m) for m in METRIC_NAMES])
+    """keys, draws, the means of the metrics over draws (undefined sharpe and calmar are left out), and the fewest and most trades."""
+    return metrics.groupBy(*KEYS).agg(F.count("*").alias("draws"), *[F.avg(m).alias(m) for m in METRIC_NAMES], F.min("trades").alias("fewest_trades"), F.max("trades").alias("most_trades"))
 
 
 def segment_effects(strategy: DataFrame, segs: DataFrame, summary: DataFrame, cells: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def evaluate_overlay(paths: DataFrame, periods: list[str], cells=OVERLAY_CELLS,
 
 
 def evaluate_segments(paths: DataFrame, periods: list[str], cells=SEGMENT_CELLS, n_shuffle: int = N_SHUFFLE, subset: DataFrame | None = None, seed: int = SEED, n_boot: int = N_BOOT, cost: float = COST, source: str = "md5") -> dict[str, DataFrame]:
-    """A two-level rule against random placements of its low segments."""
+    """A two-level rule against random placements of its low segments. A draw with another number of trades is an error."""
     check_cells(cells, SHUFFLED)
     table, names = cells_table(paths.sparkSession, cells), members(paths)
     segs = controls.segments(paths).cache()
@@ -148,6 +148,9 @@ def evaluate_segments(paths: DataFrame, periods: list[str], cells=SEGMENT_CELLS,
     placed = controls.numpy_shuffles(segs, n_shuffle, seed, order) if source == "numpy" else controls.shuffles(segs, n_shuffle, seed)
     every = shuffled_metrics(paths, placed, low, cost)
     summary = shuffle_summary(every).cache()
+    wrong = summary.join(strategy.select(*KEYS, "trades"), KEYS).where("fewest_trades <> trades or most_trades <> trades").select(*KEYS).head()
+    if wrong:
+        raise ValueError(f"{tuple(wrong)}: a shuffled ledger has another number of trades than the strategy's")
     effects = segment_effects(strategy, segs, summary, table).cache()
     return {"strategy": strategy, "segments": segs, "shuffles": every, "summary": summary, "effects": effects, "cells": grade(effects, table, names, periods, names.count(), n_boot, seed, subset, source)}
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ANCHOR, MED_MIN, PRESETS, SIG_N, SMA_N
+from ..functions.text import general
 
 # fixed values: the tested universe, periods, rules and findings
 UNIVERSE = (
@@ -37,9 +38,9 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, rule_vol boolean, rule_floor double, rule_below double, status string")
 
 
-def text(value: Column) -> Column:
-    """A value as text: `none` for null, no trailing zero."""
-    return F.coalesce(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit("none"))
+def text(value: Column, number: bool = True) -> Column:
+    """A value as text: `none` for null; numbers with six significant digits."""
+    return F.coalesce(general(value) if number else value.cast("string"), F.lit("none"))
 
 
 def match(configs: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def classify(configs: DataFrame) -> DataFrame:
     Deviations: changed frozen parameters first; then, without a matching rule, what differs from the preset, or for the
     default preset's own values that they were only described.
     """
-    frozen = [F.when(F.col(k).cast("string") != str(v), F.concat(F.lit(f"{k}="), text(F.col(k)))) for k, v in FROZEN]
+    frozen = [F.when(F.col(k).cast("string") != str(v), F.concat(F.lit(f"{k}="), text(F.col(k), not isinstance(v, str)))) for k, v in FROZEN]
     vol, floor, below = PRESETS["vf75"]
     described = (F.col("vol") == vol) & F.col("vol_floor").eqNullSafe(F.lit(floor)) & (F.col("below_sma") == below)
     note = " (descriptive comparison only)"
@@ -68,7 +69,7 @@ def classify(configs: DataFrame) -> DataFrame:
             out = F.when(F.col("preset") == name, F.lit(values[i])).otherwise(out)
         return out
 
-    changed = [F.when(~F.col(k).eqNullSafe(preset(i)), F.concat(F.lit(f"{k}="), text(F.col(k)))) for i, k in enumerate(("vol", "vol_floor", "below_sma"))]
+    changed = [F.when(~F.col(k).eqNullSafe(preset(i)), F.concat(F.lit(f"{k}="), text(F.col(k), k != "vol"))) for i, k in enumerate(("vol", "vol_floor", "below_sma"))]
     own = F.when(F.col("rule").isNotNull(), F.array().cast("array<string>")).when(described, noted).otherwise(F.array_compact(F.array(*changed)))
     out = match(configs).withColumn("frozen", F.array_compact(F.array(*frozen)))
     out = out.withColumns({"deviations": F.concat("frozen", own), "applied_rule": F.when(F.size("frozen") == 0, F.col("rule"))})

@@ -227,7 +227,7 @@ def segments_evaluated(spark, sf_dir, subset: bool = False) -> dict:
 
 @query("shuffle_summary", f"{FAN} SELECT period, symbol, draws, {r('mdd')}, {r('sharpe')}, {r('calmar')} FROM summary")
 def shuffle_summary(spark, sf_dir):
-    return rounded(segments_evaluated(spark, sf_dir)["summary"])
+    return rounded(segments_evaluated(spark, sf_dir)["summary"].drop("fewest_trades", "most_trades"))
 
 
 @query("g_segments", f"{FAN} SELECT cell, period, symbol, {r('g', 5)}, h FROM effects")
