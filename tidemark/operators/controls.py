@@ -124,7 +124,8 @@ def shuffles(segs: DataFrame, n_shuffle: int = N_SHUFFLE, seed: int = SEED, keys
 def numpy_shuffles(segs: DataFrame, n_shuffle: int = N_SHUFFLE, seed: int = SEED, order: list[tuple] | None = None, keys=KEYS) -> DataFrame:
     """shuffles() with NumPy's generator: one per draw, seeded seed + r, which serves the paths in the given order.
 
-    The generator's state goes from path to path, so each draw is one sequential unit; draws run in parallel.
+    The generator's state goes from path to path, so each draw is one sequential unit; draws run in parallel. The order of
+    the generator's calls is fixed: it makes the same draws as a plain loop over paths in that order.
     """
     rows = segs.groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("segs")).collect()  # one row per path
     lay = {tuple(row[k] for k in keys): (row["n"], [(x["s"], x["e"]) for x in row["segs"]]) for row in rows}

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import ensure_checkpoints
+
 #: The hash before a chain's first row, states of publication, types of activity.
 ZERO = "0" * 64
 STATES = ("unpublished", "published_unverified", "late", "forward")
@@ -152,6 +154,7 @@ def ancestors(heads: DataFrame, commits: DataFrame, max_depth: int = 10_000) ->
 
     One join per level of the frontier, until no head reaches anything new; each level is checkpointed.
     """
+    ensure_checkpoints(heads.sparkSession)
     frontier = heads.select("head", F.col("head").alias("sha")).distinct()
     seen = frontier
     for _ in range(max_depth):

@@ -133,17 +133,9 @@ def introducing_version(spark, sf_dir):
 def ancestry(spark, sf_dir):
     key = src.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"))
     commits = key.where("child > 0").select("child", F.floor(F.col("child") / 2).alias("parent")).unionByName(key.where("child > 0 and child % 5 = 0").select("child", F.floor(F.col("child") / 3).alias("parent"))).distinct()
-    ensure_checkpoints(spark)
     return track.ancestors(key.select(F.col("child").alias("head")), commits)
 
 
-def ensure_checkpoints(spark) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-
-
 # publication: orders are rows, their commit is their month; commits of even months are public; pushes come from lineitem
 STATE_SQL = """o AS (SELECT o_orderkey AS row_hash, CAST(o_orderdate AS date) AS \"asof\", year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders),
 intro AS (SELECT row_hash, m AS sha FROM o WHERE row_hash % 10 <> 3),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import COST, REBALANCE_THRESHOLD, TOLERANCE
 from ..operators import track
+from ..shared import ensure_checkpoints
 
 
 def bars_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -41,6 +42,7 @@ def observe_batch(log_path: str, ref: str):
         after, head = (last["seq"], last["row_hash"]) if last else (0, track.ZERO)
         rows = fresh.coalesce(1).sortWithinPartitions("push_time", "event_id").withColumn("seq", F.monotonically_increasing_id() + 1 + after)  # one batch's new entries, in one order
         rows = rows.withColumns({"log": F.lit(0), "canon": track.canonical({c: F.col(c) for c in ("event_id", "push_time", "head_sha")})})
+        ensure_checkpoints(spark)
         rows = rows.checkpoint()  # row numbers are read twice below
         sealed = track.seal(rows, ["log"], F.lit(head))
         sealed.select("event_id", "push_time", "head_sha", "log", "seq", "canon", "prev_hash", "row_hash").coalesce(1).write.mode("append").parquet(log_path)
