@@ -155,7 +155,7 @@ def test_publication_states(spark):
 
 def test_ancestors_follow_every_parent(spark):
     commits = spark.createDataFrame([("d", "b"), ("d", "c"), ("c", "a"), ("b", "a"), ("x", "d")], "child string, parent string")
-    from tidemark.plans.track_queries import ensure_checkpoints
+    from tidemark.shared import ensure_checkpoints
 
     ensure_checkpoints(spark)
     got = track.ancestors(spark.createDataFrame([("d",), ("a",), ("gone",)], "head string"), commits)

@@ -135,7 +135,7 @@ def test_ledger_over_a_stream(spark, tmp_path):
 
 
 def test_observation_batches(spark, tmp_path):
-    from tidemark.plans.track_queries import ensure_checkpoints
+    from tidemark.shared import ensure_checkpoints
 
     ensure_checkpoints(spark)
     entry = lambda i, day: {"id": i, "activity_type": "push", "ref": "r", "after": f"{i:040x}", "timestamp": f"2024-01-{day:02}T00:00:00Z"}
