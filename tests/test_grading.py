@@ -11,9 +11,10 @@ from tidemark.operators import controls, evaluate, stats
 
 
 def test_general_number_format(spark):
-    numbers = [0.0, 0.75, 200.0, 1.0, -0.5, 1e-4, 1.25e-5, 123456.0, 1234567.0, 999999.5, 0.1 + 0.2, 1 / 3, 1e20, -2.5e-7, 100000.0, 1e6, float("inf")]
+    numbers = [0.0, 0.75, 200.0, 1.0, -0.5, 1e-4, 1.25e-5, 123456.0, 1234567.0, 999999.5, 0.1 + 0.2, 1 / 3, 1e20, -2.5e-7, 100000.0, 1e6, float("inf"), float("nan")]
     rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", general(F.col("x")).alias("s")).collect()
     assert [r.s for r in rows] == [f"{x:g}" for x in numbers]
+    assert spark.range(1).select(general(F.lit(None).cast("double"))).head()[0] is None
 
 
 def effects_frame(spark, g, h):
