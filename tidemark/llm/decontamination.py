@@ -3,12 +3,12 @@
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all non-ASCII characters. A window is `size`
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. The benchmark's word
 ids, window hashes and window places are broadcast in blocks of at most about `block_bytes` of item text: the usual
-benchmark is one block; a larger one is scanned block by block, each pass written to the shared folder. Every hash
-hit is verified word by word.
+benchmark is one block; for a larger one the rows are written once with a number, scanned block by block, and only the hits
+of each pass are written, by row. Every hash hit is verified word by word.
 
 Null texts have no words; empty tables give no hits; a null item id is never reported but its windows hit. Repeated
 rows are scanned one by one. Extra columns of the documents are kept, apart from `n_words`, `spans`, `items`, which
-are replaced.
+are replaced; names that start with `_dc_` are reserved.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import load, materialise, set_aside
 SIZE = 10
 BLOCK_BYTES = 16_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Columns that find_leaks() makes, in place of columns of these names.
+MADE = ("n_words", "spans", "items")
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -123,48 +125,58 @@ class Index:
         return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())), found
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's items in blocks of about block_bytes at most, one at a time."""
+def blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
+    """Number of blocks, and the benchmark's items in blocks of about block_bytes at most, one at a time."""
     rows = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = -(-total // block_bytes) if total else 0
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield [tuple(r) for r in part.collect()]
+    part = lambda b: rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+    return n, ([tuple(r) for r in part(b).collect()] for b in range(n))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df with n_words, spans (hit words, merged, from 0, end exclusive) and items (distinct ids, sorted)."""
-    made = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
-    rest = [c for c in df.columns if c not in ("n_words", "spans", "items")]
+    rest = [c for c in df.columns if c not in MADE]
     out = df.select(*[df[c] for c in rest])
-    schema = T.StructType([*out.schema, *made])
+    n, parts = blocks(benchmark, block_bytes)
+    if n <= 1:
+        return scanned(out, Index(next(parts, []), size), text)
+    out = materialise(out.withColumn("_dc_row", F.monotonically_increasing_id()), "rows")
+    hits = None
+    for items in parts:
+        found = scanned(out.select("_dc_row", text), Index(items, size), text).where(F.size("spans") > 0).select("_dc_row", "spans", "items")
+        found = materialise(found, "hits")
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("_dc_row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return scanned(out.join(hits, "_dc_row", "left").drop("_dc_row"), None, text)
+
+
+def scanned(df: DataFrame, index: Index | None, text: str) -> DataFrame:
+    """df with n_words, spans and items; without an index the spans of columns spans and items, merged."""
+    rest = [c for c in df.columns if c not in MADE]
     at = rest.index(text)
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    sent = df.sparkSession.sparkContext.broadcast(vars(index)) if index else None
 
-    def scanner(sent, carried: bool):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index.of(sent.value)
-            for batch in batches:
-                n_words, spans, items = [], [], []
-                before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()) if carried else repeat(([], []))
-                for x, (old_spans, old_items) in zip(batch.column(at), before):
-                    words = fold_words(x.as_py())
-                    new_spans, found = index.scan(words)
-                    n_words.append(len(words))
-                    spans.append(join_spans([(s["start"], s["end"]) for s in old_spans] + new_spans) if old_spans else new_spans)
-                    items.append(sorted({*old_items, *(i for i in found if i is not None)}))
-                arrays = [pa.array(n_words, pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], spans_type), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *arrays], names=[*rest, "n_words", "spans", "items"])
-
-        return scan
-
-    carried = False
-    for items in blocks(benchmark, block_bytes):
-        sent = df.sparkSession.sparkContext.broadcast(vars(Index(items, size)))
-        out = (materialise(out, "leaks") if carried else out).mapInArrow(scanner(sent, carried), schema)
-        carried = True
-    return out if carried else out.mapInArrow(scanner(df.sparkSession.sparkContext.broadcast(vars(Index([], size))), False), schema)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Index.of(sent.value) if sent else None
+        for batch in batches:
+            n_words, spans, items = [], [], []
+            before = repeat(([], [])) if sent else zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())
+            for x, (hit, ids) in zip(batch.column(at), before):
+                words = fold_words(x.as_py())
+                if own:
+                    hit, ids = own.scan(words)
+                else:
+                    hit, ids = join_spans([(s["start"], s["end"]) for s in hit or []]), ids or []
+                n_words.append(len(words))
+                spans.append([{"start": s, "end": e} for s, e in hit])
+                items.append(sorted(i for i in ids if i is not None))
+            arrays = [pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *arrays], names=[*rest, *MADE])
+
+    return df.mapInArrow(scan, schema)
 
 
 def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -179,7 +191,7 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, mode: str = "document", **options) -> DataFrame:
     """df without its leaks: whole documents (`document`) or only the hit words (`span`, the rest stays as it is)."""
-    df, back = set_aside(df, ("n_words", "spans", "items"))
+    df, back = set_aside(df, MADE)
     leaks = find_leaks(df, benchmark, **options)
     if mode == "document":
         return leaks.where(F.size("spans") == 0).select(*df.columns).withColumnsRenamed(back)

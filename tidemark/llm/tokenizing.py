@@ -123,8 +123,8 @@ class Encoder:
         if self.fast and plain and not any(x in text for x in self.special):
             try:
                 return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-            except BaseException as e:  # its regex engine gives up on very long runs of spaces
-                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+            except BaseException as e:  # its regex engine gives up on very long runs of spaces, by a panic or a ValueError
+                if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
                     raise
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
