@@ -197,12 +197,11 @@ def slow_masked(url):
         rest_ = re.sub(r"^/[^/?#]*", "", rest)
     else:
         rest_ = rest
-    return shown, ("\x03" + rest_.lower() if rest else "")
+    return shown, ("\x03" + re.sub("[0-9]+", "0", rest_.lower()) if rest else "")
 
 
 def slow_fold(host):
-    h = xxhash.xxh64_intdigest(host.encode(), 42)
-    return (h - 2**64 if h >= 2**63 else h) % url_filter.FOLDS
+    return int(hashlib.md5(host.encode()).hexdigest()[:8], 16) % url_filter.FOLDS
 
 
 def slow_url_scores(urls, decided):

@@ -144,4 +144,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_language_id": op9_language_id}
-ORACLE_SQL: dict[str, str] = {}
+#: The same over gram texts; a space is the boundary, which sorts before every letter. crc32 is written out.
+ORACLE_SQL = {
+    "op9_language_id": rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {FOLDS} AS fold FROM documents, crc),
+lines AS (SELECT rid, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS s FROM docs WHERE regexp_matches(text, '\p{{L}}')),
+places AS (SELECT rid, s, unnest(range(1, len(s) + 1)) AS i FROM lines),
+found AS (SELECT rid, s[i:i] AS g FROM places WHERE s[i:i] <> ' ' UNION ALL SELECT rid, s[i:i + 1] FROM places WHERE i < len(s) UNION ALL SELECT rid, s[i:i + 2] FROM places WHERE i + 1 < len(s) AND s[i + 1:i + 1] <> ' '),
+counts AS (SELECT rid, g, count(*) AS n FROM found GROUP BY ALL),
+own AS (SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY n DESC, -len(g), g) - 1 AS r FROM counts QUALIFY r < {TOP}),
+totals AS (SELECT lang, g, sum(n) AS n FROM counts JOIN docs USING (rid) WHERE fold <> 0 AND lang IS NOT NULL GROUP BY ALL),
+profiles AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, -len(g), g) - 1 AS r FROM totals QUALIFY r < {TOP}),
+langs AS (SELECT DISTINCT lang FROM profiles),
+apart AS (SELECT rid, l.lang, sum(CASE WHEN p.r IS NULL THEN {TOP} ELSE abs(p.r - own.r) END) AS d FROM own CROSS JOIN langs l LEFT JOIN profiles p ON p.lang = l.lang AND p.g = own.g GROUP BY ALL),
+best AS (SELECT rid, list(lang ORDER BY d, lang)[1] AS lang_pred, list(d ORDER BY d, lang) AS ds FROM apart GROUP BY 1)
+SELECT doc_id, coalesce(fold = 0, false) AS held_out, coalesce(lang_pred, 'und') AS lang_pred, CASE WHEN len(ds) > 1 AND ds[2] > 0 THEN 1 - ds[1] / ds[2]::double ELSE 0.0::double END AS score
+FROM docs LEFT JOIN best USING (rid)""",
+}
