@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import COST, N_BOOT, N_SHUFFLE, SEED
+from ..shared import materialise
 from . import controls, ledger, stats
 
 KEYS = ["period", "symbol"]
@@ -128,10 +129,10 @@ def evaluate_overlay(paths: DataFrame, periods: list[str], cells=OVERLAY_CELLS,
     """A rule against exposure-matched buy and hold."""
     check_cells(cells, MATCHED)
     table, names = cells_table(paths.sparkSession, cells), members(paths)
-    strategy = ledger.metrics(ledger.ledger(paths, rebalance, cost)).cache()
+    strategy = materialise(ledger.metrics(ledger.ledger(paths, rebalance, cost)), "strategy")
     matched, control = overlay_controls(paths, strategy, cost)
-    matched = matched.cache()
-    effects = overlay_effects(strategy, matched, control, table).cache()
+    matched = materialise(matched, "matched")
+    effects = materialise(overlay_effects(strategy, matched, control, table), "effects")
     return {"strategy": strategy, "baseline": ledger.metrics(controls.baseline(paths)), "c_dagger": matched, "control": control, "effects": effects, "cells": grade(effects, table, names, periods, names.count(), n_boot, seed, subset, source)}
 
 
@@ -139,19 +140,19 @@ def evaluate_segments(paths: DataFrame, periods: list[str], cells=SEGMENT_CELLS,
     """A two-level rule against random placements of its low segments. A draw with another number of trades is an error."""
     check_cells(cells, SHUFFLED)
     table, names = cells_table(paths.sparkSession, cells), members(paths)
-    segs = controls.segments(paths).cache()
+    segs = materialise(controls.segments(paths), "segments")
     low = controls.low_level(paths).select(*KEYS, F.coalesce("low", F.lit(1.0)).alias("low"))
-    strategy = ledger.metrics(ledger.segment_nav_with_low(paths.join(low, KEYS), segs, cost, KEYS)).cache()
+    strategy = materialise(ledger.metrics(ledger.segment_nav_with_low(paths.join(low, KEYS), segs, cost, KEYS)), "strategy")
     order = None
     if source == "numpy":
         order = [tuple(r) for r in paths.select("ord", *KEYS).distinct().orderBy("ord", "symbol").select(*KEYS).collect()]
     placed = controls.numpy_shuffles(segs, n_shuffle, seed, order) if source == "numpy" else controls.shuffles(segs, n_shuffle, seed)
     every = shuffled_metrics(paths, placed, low, cost)
-    summary = shuffle_summary(every).cache()
+    summary = materialise(shuffle_summary(every), "summary")
     wrong = summary.join(strategy.select(*KEYS, "trades"), KEYS).where("fewest_trades <> trades or most_trades <> trades").select(*KEYS).head()
     if wrong:
         raise ValueError(f"{tuple(wrong)}: a shuffled ledger has another number of trades than the strategy's")
-    effects = segment_effects(strategy, segs, summary, table).cache()
+    effects = materialise(segment_effects(strategy, segs, summary, table), "effects")
     return {"strategy": strategy, "segments": segs, "shuffles": every, "summary": summary, "effects": effects, "cells": grade(effects, table, names, periods, names.count(), n_boot, seed, subset, source)}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import N_BOOT, N_SHUFFLE, SEED, rule
 from ..operators import controls, evaluate, ledger, signals, stats, windows
+from ..shared import materialise
 from ..sources import bars as src
 from . import sql
 from .bar_queries import P, SOLVE, query_into, r, rounded
@@ -69,11 +70,11 @@ GRADED = f"SELECT ord, name, {r('d0')}, {r('d1')}, {r('w0')}, {r('w1')}, {r('t')
 
 def overlay_effects(spark, sf_dir) -> DataFrame:
     """Effects with member_idx, read by several statistics: written once."""
-    paths = paths_of(spark, sf_dir, "vf").cache()
-    strategy = ledger.metrics(ledger.ledger(paths)).cache()
+    paths = materialise(paths_of(spark, sf_dir, "vf"), "paths")
+    strategy = materialise(ledger.metrics(ledger.ledger(paths)), "strategy")
     matched, control = evaluate.overlay_controls(paths, strategy)
     effects = evaluate.overlay_effects(strategy, matched, control, evaluate.cells_table(spark, evaluate.OVERLAY_CELLS))
-    return effects.join(F.broadcast(evaluate.members(paths)), "symbol").cache()
+    return materialise(effects.join(F.broadcast(evaluate.members(paths)), "symbol"), "effects")
 
 
 @query("g_overlay", f"{OVERLAY} SELECT cell, period, symbol, member_idx, {r('g', 5)}, h FROM effects")
@@ -162,7 +163,7 @@ def graded(cells: DataFrame) -> DataFrame:
 
 @query("grade_overlay", f"{OVERLAY},{STATS},{VERDICT} {GRADED}")
 def grade_overlay(spark, sf_dir):
-    paths = paths_of(spark, sf_dir, "vf").cache()
+    paths = materialise(paths_of(spark, sf_dir, "vf"), "paths")
     found = evaluate.evaluate_overlay(paths, PERIODS, n_boot=DRAWS, subset=even_half(evaluate.members(paths)))
     return graded(found["cells"])
 
@@ -178,7 +179,7 @@ def cell_stats(spark, sf_dir):
 
 @query("subset_check", f"{OVERLAY},{STATS},{VERDICT} SELECT name, subset_check FROM graded")
 def subset_check(spark, sf_dir):
-    paths = paths_of(spark, sf_dir, "vf").cache()
+    paths = materialise(paths_of(spark, sf_dir, "vf"), "paths")
     found = evaluate.evaluate_overlay(paths, PERIODS, n_boot=DRAWS, subset=even_half(evaluate.members(paths)))
     return found["cells"].select("name", "subset_check")
 
@@ -221,7 +222,7 @@ effects AS MATERIALIZED (SELECT cell, period, symbol, member_idx, CASE WHEN ok T
 
 
 def segments_evaluated(spark, sf_dir, subset: bool = False) -> dict:
-    paths = paths_of(spark, sf_dir, "f").cache()
+    paths = materialise(paths_of(spark, sf_dir, "f"), "paths")
     return evaluate.evaluate_segments(paths, PERIODS, n_shuffle=SHUFFLES, n_boot=DRAWS, subset=even_half(evaluate.members(paths)) if subset else None)
 
 
