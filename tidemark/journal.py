@@ -121,22 +121,33 @@ def observation_error(log: DataFrame) -> str | None:
 
 
 def observe(spark: SparkSession, path: str, entries: list[dict], repo: str, ref: str, observed_at: dt.datetime | None = None) -> list[dict]:
-    """Appends the pushes to `ref` among activity entries that the log does not have, oldest first; returns them."""
+    """observe_items() of activity entries as they come from the API; returns the appended rows."""
+    new = observe_items(remote.activity_frame(spark, entries), path, repo, ref, observed_at)
+    return [r.asDict(True) for r in new.orderBy("seq").collect()]
+
+
+def observe_items(items: DataFrame, path: str, repo: str, ref: str, observed_at: dt.datetime | None = None) -> DataFrame:
+    """Appends the pushes to `ref` among activity entries that the log does not have, oldest first; returns the new rows.
+
+    items: id, activity_type, ref, after, timestamp and, where entries share an id and the first one counts, seq.
+    """
+    spark = items.sparkSession
     log = read_observations(spark, path)
     if problem := observation_error(log):
         raise Refused(f"{path}: {problem}")
     when = observed_at or dt.datetime.now(dt.timezone.utc).replace(microsecond=0)
-    place = remote.activity_frame(spark, entries).select(F.col("id").alias("event_id"), "seq")
-    fresh = track.observe(track.parse_activity(remote.activity_frame(spark, entries), ref).join(place.groupBy("event_id").agg(F.min("seq").alias("seq")), "event_id"), log)
+    parsed = track.parse_activity(items, ref)
+    if "seq" in items.columns:
+        parsed = parsed.join(items.groupBy(F.col("id").alias("event_id")).agg(F.min("seq").alias("seq")), "event_id")
+    fresh = track.observe(parsed, log, "seq" if "seq" in items.columns else "push_time")
     head = log.orderBy(F.desc("seq")).select("seq", "row_hash").head()
     after, previous = (head.seq, head.row_hash) if head else (0, track.ZERO)
     rows = fresh.select("event_id", "push_time", "head_sha", F.array().cast("array<string>").alias("commits"), F.lit(repo).alias("repo"), F.lit(when).cast("timestamp").alias("observed_at"), F.lit(0).alias("log"))
     rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("log").orderBy("push_time", "event_id")).cast("long") + after)  # one answer's entries
-    rows = track.seal(rows.withColumn("canon", observation_canon()), ["log"], F.lit(previous))
-    written = rows.select(*OBSERVATION, "log", "seq", "canon", "prev_hash", "row_hash").orderBy("seq").collect()
-    if written:
-        spark.createDataFrame(written, OBSERVATIONS).coalesce(1).write.mode("append").parquet(path)
-    return [r.asDict(True) for r in written]
+    rows = track.seal(rows.withColumn("canon", observation_canon()), ["log"], F.lit(previous)).select(*OBSERVATION, "log", "seq", "canon", "prev_hash", "row_hash")
+    if not rows.isEmpty():
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return read_observations(spark, path).where(F.col("seq") > after)
 
 
 # ---------------------------------------------------------------- the log as JSON lines, for version control

@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import journal
 from ..config import COST, REBALANCE_THRESHOLD, TOLERANCE
-from ..operators import track
-from ..shared import ensure_checkpoints
 
 
 def bars_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -22,30 +21,14 @@ def bars_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
     return bars.select(F.col("event_type").alias("symbol"), F.to_date("window.start").alias("dt"), "o", "h", "l", "c", "v")
 
 
-def observe_batch(log_path: str, ref: str):
-    """For foreachBatch: parses activity entries, drops known and repeated ones, seals the rest onto the log at log_path.
+def observe_batch(log_path: str, ref: str, repo: str = ""):
+    """For foreachBatch: parses activity entries, drops known and repeated ones, seals the rest onto the observations at log_path.
 
     Each batch is one append; a batch that runs again finds its entries in the log and adds nothing.
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(log_path)
-            known.schema["row_hash"]
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = spark.createDataFrame([], "event_id string, push_time timestamp, head_sha string, log int, seq long, canon string, prev_hash string, row_hash string")
-        fresh = track.observe(track.parse_activity(batch, ref), known, "push_time")
-        last = known.orderBy(F.desc("seq")).select("seq", "row_hash").head()
-        after, head = (last["seq"], last["row_hash"]) if last else (0, track.ZERO)
-        rows = fresh.coalesce(1).sortWithinPartitions("push_time", "event_id").withColumn("seq", F.monotonically_increasing_id() + 1 + after)  # one batch's new entries, in one order
-        rows = rows.withColumns({"log": F.lit(0), "canon": track.canonical({c: F.col(c) for c in ("event_id", "push_time", "head_sha")})})
-        ensure_checkpoints(spark)
-        rows = rows.checkpoint()  # row numbers are read twice below
-        sealed = track.seal(rows, ["log"], F.lit(head))
-        sealed.select("event_id", "push_time", "head_sha", "log", "seq", "canon", "prev_hash", "row_hash").coalesce(1).write.mode("append").parquet(log_path)
+        journal.observe_items(batch, log_path, repo, ref)
 
     return run
 
