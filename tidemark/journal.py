@@ -137,8 +137,6 @@ def observe_items(items: DataFrame, path: str, repo: str, ref: str, observed_at:
         raise Refused(f"{path}: {problem}")
     when = observed_at or dt.datetime.now(dt.timezone.utc).replace(microsecond=0)
     parsed = track.parse_activity(items, ref)
-    if "seq" in items.columns:
-        parsed = parsed.join(items.groupBy(F.col("id").alias("event_id")).agg(F.min("seq").alias("seq")), "event_id")
     fresh = track.observe(parsed, log, "seq" if "seq" in items.columns else "push_time")
     head = log.orderBy(F.desc("seq")).select("seq", "row_hash").head()
     after, previous = (head.seq, head.row_hash) if head else (0, track.ZERO)

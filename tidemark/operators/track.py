@@ -191,7 +191,7 @@ def state_counts(states: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- activity
 def parse_activity(items: DataFrame, ref: str) -> DataFrame:
-    """event_id, push_time, head_sha of activity entries that moved `ref`; malformed ones are dropped.
+    """event_id, push_time, head_sha (and seq, if items have it) of activity entries that moved `ref`; malformed ones are dropped.
 
     items: id, activity_type, ref, after, timestamp (text with a zone).
     """
@@ -199,7 +199,7 @@ def parse_activity(items: DataFrame, ref: str) -> DataFrame:
     zoned = F.col("timestamp").rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     when = F.when(zoned, F.try_to_timestamp("timestamp"))
     own = items.where(F.col("activity_type").isin(*ACTIVITY_TYPES) & (F.col("ref") == ref) & (F.length("id") > 0))
-    return own.select(F.col("id").alias("event_id"), when.alias("push_time"), sha.alias("head_sha")).where(F.col("push_time").isNotNull() & F.col("head_sha").rlike("^[0-9a-f]{40}$"))
+    return own.select(F.col("id").alias("event_id"), when.alias("push_time"), sha.alias("head_sha"), *(["seq"] if "seq" in items.columns else [])).where(F.col("push_time").isNotNull() & F.col("head_sha").rlike("^[0-9a-f]{40}$"))
 
 
 def observe(parsed: DataFrame, existing: DataFrame, order: str = "seq") -> DataFrame:
