@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,16 +24,22 @@ def read_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_csv(bars: DataFrame, folder: str) -> None:
-    """One CSV file per symbol, put in place when it is whole; an empty symbol is an error."""
-    import os
+    """One CSV file per symbol, put in place when it is whole. Symbols are written by different tasks; the folder is one that
+    they share."""
+    prices = list(PRICES)
+
+    def put(own: pd.DataFrame) -> pd.DataFrame:
+        import os
+        import uuid
 
-    for (symbol,) in bars.select("symbol").distinct().collect():
-        own = bars.where(F.col("symbol") == symbol).orderBy("dt").select(F.col("dt").alias("Date"), *[F.col(c).alias(c.upper()) for c in PRICES]).toPandas()
-        if own.empty:
-            raise ValueError(f"{symbol}: nothing to write")
         os.makedirs(folder, exist_ok=True)
-        own.to_csv(path := f"{folder}/.{symbol}.tmp", index=False)
+        symbol = own["symbol"].iloc[0]
+        lines = own.sort_values("dt")[["dt", *prices]].set_axis(["Date", *(c.upper() for c in prices)], axis=1)
+        lines.to_csv(path := f"{folder}/.{symbol}.{uuid.uuid4().hex}", index=False)
         os.replace(path, f"{folder}/{symbol}.csv")
+        return pd.DataFrame({"n": [len(own)]})
+
+    bars.groupBy("symbol").applyInPandas(put, "n long").agg(F.sum("n")).collect()
 
 
 def write_table(bars: DataFrame, path: str) -> None:
