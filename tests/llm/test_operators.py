@@ -481,6 +481,31 @@ def test_line_dedup_keeps_the_first_copy(spark):
         line_dedup.dedup_lines(df, run_lines=1, gram_lines=2)
 
 
+def test_line_dedup_winnows_single_lines_too(spark, monkeypatch):
+    """The default goes through windows that select line hashes: fewer fingerprints than lines, and whole passages found by them."""
+    rng = np.random.default_rng(6)
+    prose = lambda n: [" ".join(f"v{k}" for k in rng.integers(0, 900, 12)) for _ in range(n)]
+    passage, same = prose(9), prose(1) * 7
+    texts = [prose(20) + passage + prose(2), prose(3) + [""] + passage[:5] + ["  "] + passage[5:] + prose(15), passage[:2] + prose(1) + passage[7:8], same, same[:5], prose(2)]
+    rows_ = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    seen, rest, prints, windows = {}, line_dedup.rest_of, line_dedup.fingerprints, line_dedup.WINDOW_LINES
+    monkeypatch.setattr(line_dedup, "rest_of", lambda lines, gone: seen.update(gone={r._row_id: sorted(r.gone) for r in gone.collect()}) or rest(lines, gone))
+    monkeypatch.setattr(line_dedup, "fingerprints", lambda lines, *sizes: seen.update(prints=prints(lines, *sizes).collect()) or prints(lines, *sizes))
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert out == {i: without(t, slow_runs(rows_)[False, i, t]) for i, t in rows_}
+    assert seen["gone"] == {1: [4, 5, 6, 7, 8, 10, 11, 12, 13], 3: list(range(1, 7)), 4: list(range(5))}
+
+    # the fingerprints by hand: the least hash of each window, the first of equal ones
+    expected = set()
+    for i, t in enumerate(texts):
+        bare = [hashlib.sha256(x.encode()).digest() for x in t if x.strip()]
+        hashes = np.array([xxhash.xxh64_intdigest(x, 42) for x in bare], np.uint64).view(np.int64).tolist()
+        picks = [min((hashes[j], j) for j in range(k, k + windows)) for k in range(len(bare) - windows + 1)]
+        expected |= {(i, g, min(k for k, p in enumerate(picks) if p == (g, j)) + 1, max(k for k, p in enumerate(picks) if p == (g, j)) + 1) for g, j in picks}
+    assert {(r._row_id, r.gram, r.lo, r.hi) for r in seen["prints"]} == expected and len(seen["prints"]) == len(expected) < 0.6 * sum(map(len, texts))
+
+
 # ---------------------------------------------------------------- 7, 8
 def tokenizer():
     from tokenizers import Tokenizer
