@@ -7,7 +7,7 @@ import pytest
 from test_operators import fold, held_back, slow_fingerprint, slow_quality, slow_runs, slow_scores, tokenizer, without
 
 import corpus_pipeline
-from tidemark.llm import quality
+from tidemark.llm import quality, simhash
 from tidemark.llm.common import load
 
 
@@ -147,3 +147,55 @@ def test_near_dedup_finds_all_similar_pairs(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     kept = corpus_pipeline.near_dedup(spark, df, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def test_near_dedup_goes_through_the_trie(spark, monkeypatch):
+    """The first links of the stage are those of the trie join on SimHash fingerprints, verified; the rest adds to them."""
+    rng = np.random.default_rng(4)
+    texts = ["", "few words"]
+    for n in (50, 120, 300):
+        for _ in range(8):
+            base = rng.integers(0, 4000, n)
+            texts += [" ".join(f"w{x}" for x in np.where(np.isin(np.arange(n), rng.choice(n, e, replace=False)), 9999, base)) for e in (0, 1, 1, 3, 4, 8)]
+    texts = list(dict.fromkeys(texts))
+    budget = simhash.NEAR_BUDGET
+    key, sim = zip(*[simhash.set_of(t, 5)[:2] for t in texts])
+    sets = [set(simhash.set_of(t, 5)[2].tolist()) for t in texts]
+    apart = lambda i, j: ((sim[i] ^ sim[j]) % 2**64).bit_count()
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+    def roots(pairs):
+        forest = simhash.Forest()
+        for i, j in pairs:
+            forest.join(i, j)
+        return [forest.root(k) for k in range(len(texts))]
+
+    every = [(i, j) for i in range(len(texts)) for j in range(i)]
+    first, components, place = [], simhash.components, {k: i for i, k in enumerate(key)}
+    monkeypatch.setattr(simhash, "components", lambda edges: first.append([(place[r.a], place[r.b]) for r in edges.collect()]) or components(edges))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert kept == sorted(set(roots([p for p in every if alike(*p)])))
+    assert all(alike(i, j) and apart(i, j) <= budget for i, j in first[0]) and any(apart(i, j) > simhash.BUDGET for i, j in first[0])
+    assert len(first[0]) > 5 and not set(range(len(texts))) - set(kept) <= {max(p) for p in first[0]}  # the rest finds others
+
+    named = spark.createDataFrame(list(zip(key, sim)), "fp long, sim long")
+    found = [(place[r.a], place[r.b]) for r in simhash.near_pairs(named, budget).collect()]
+    assert all(apart(i, j) <= budget for i, j in found) and roots(found) == roots([p for p in every if apart(*p) <= budget])
+
+
+@pytest.mark.parametrize("budget", [0, 1, 3, 5, 6])
+def test_trie_join_with_other_budgets(spark, budget):
+    rng = np.random.default_rng(budget)
+    base = [int(x) for x in rng.integers(0, 2**64, 60, np.uint64)]
+    fps = list(dict.fromkeys(base + [b ^ sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for b in base for d in (1, 3, 5, 6, 7)]))
+    signed = [f - (f >> 63 << 64) for f in fps]
+    got = {tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), budget, real=True).collect()}
+    near = {(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) % 2**64).bit_count() <= budget}
+    names, forests = range(len(fps)), []
+    for pairs in (got, near):
+        forest = simhash.Forest()
+        for a, b in pairs:
+            forest.join(signed.index(a), signed.index(b))
+        forests.append([forest.root(k) for k in names])
+    assert got <= near | {(b, a) for a, b in near} and forests[0] == forests[1]

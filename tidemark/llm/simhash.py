@@ -17,10 +17,13 @@ each round.
 Null or empty texts have fingerprint zero and are linked like any other. Repeated rows get equal results. Rows with a
 null doc_id take part; `component_id` is the least non-null doc_id of the component, null if there is none.
 
-With a `similarity` (the pipeline's stage: 0.8 on five words), documents are linked if the Jaccard similarity of their
-sets of shingles is that or more, however many bits their fingerprints differ in; `fp` is then a hash of the set, and
-texts without words are linked. No Hamming budget finds all such pairs, so candidates come from a prefix filter, which
-loses none: with one order of all shingles, two such sets share one of the first n - ceil(similarity * n) + 1 of each.
+With a `similarity` (the pipeline's stage: 0.8 on five words, a budget of 3 bits), documents are linked if the Jaccard
+similarity of their sets of shingles is that or more; `fp` is then a hash of the set, and texts without words are linked.
+The same steps find candidates: SimHash fingerprints of the sets and the trie joined with itself, with fronts of two of
+budget + 2 blocks, whose pairs are verified on the whole sets. These links make the first components. Pairs that differ in
+more bits, or that a forest of unverified pairs left out, are then found by an exact rest; no Hamming budget finds all such
+pairs. It compares only documents of different components, by a prefix filter, which loses none: with one order of all
+shingles, two such sets share one of the first n - ceil(similarity * n) + 1 of each.
 Any order is right; shingles that several prefixes by hash share come late in it, so that few documents meet.
 Of the documents that meet, shingles that no other of them holds are counted: two sets share no more than what either
 has left, which rules out most documents of a large group of loosely alike ones before any pair is made. Of those that
@@ -43,7 +46,9 @@ from .common import discard, load, materialise
 
 SHINGLE = 3
 BUDGET = 2
-BLOCK_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+#: Bits for candidates that are verified. More find more links before the exact rest, but with shorter fronts, at which unlike
+#: fingerprints meet in number of the square of the input: fronts of 25 bits at 3, 18 at 5.
+NEAR_BUDGET = 3
 #: Distinct fingerprints below one trie node that one task joins; a larger node is split.
 NODE_ROWS = 2048
 #: Node pairs that are held at once while going down.
@@ -72,7 +77,11 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    h = shingles(text, size)
+    return voted(shingles(text, size))
+
+
+def voted(h: np.ndarray) -> int:
+    """The fingerprint of these hashes."""
     n = len(h)
     if n <= 1:
         return int(h[0]) if n else 0
@@ -93,14 +102,24 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("doc_id", df[text]).mapInArrow(run, T.StructType([df.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
-def with_front(fp: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """The fingerprints with two of their blocks moved to the front; pair: index into BLOCK_PAIRS."""
+def blocks(budget: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Shift and width of budget + 2 blocks of 64 bits, highest first, and the pairs of them that can be a front: what
+    differs in no more bits than the budget agrees in two blocks."""
+    m = budget + 2
+    ends = [64 * i // m for i in range(m + 1)]
+    return [(64 - y, y - x) for x, y in zip(ends, ends[1:])], [(a, b) for a in range(m) for b in range(a + 1, m)]
+
+
+def with_front(fp: np.ndarray, pair: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+    """The fingerprints with two of their blocks moved to the front; pair: index into the pairs of blocks()."""
     out = np.empty_like(fp)
-    for i, (a, b) in enumerate(BLOCK_PAIRS):
+    cut, pairs = blocks(budget)
+    for i, (a, b) in enumerate(pairs):
         on = pair == i
-        order = [a, b, *(x for x in range(4) if x not in (a, b))]
-        block = [(fp[on] >> np.uint64(48 - 16 * x)) & np.uint64(0xFFFF) for x in order]
-        out[on] = (block[0] << np.uint64(48)) | (block[1] << np.uint64(32)) | (block[2] << np.uint64(16)) | block[3]
+        moved = np.zeros(np.count_nonzero(on), np.uint64)
+        for shift, width in [cut[a], cut[b], *(x for k, x in enumerate(cut) if k not in (a, b))]:
+            moved = (moved << np.uint64(width)) | ((fp[on] >> np.uint64(shift)) & np.uint64((1 << width) - 1))
+        out[on] = moved
     return out
 
 
@@ -151,18 +170,37 @@ class Forest:
             self.up[y] = x
         return x
 
-    def join(self, x: int, y: int) -> None:
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
         x, y = self.root(x), self.root(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
-
-
-def links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Edges (a, b) of a forest whose trees span, node by node, what links at `budget` or fewer bits join."""
-    if budget > 2:
-        raise ValueError("four blocks find links of up to 2 bits")
-    block = lambda i: F.shiftrightunsigned("fp", 48 - 16 * i).bitwiseAND(0xFFFF)
-    nodes = distinct.select("fp", F.posexplode(F.array(*[F.shiftleft(block(a), 16).bitwiseOR(block(b)) for a, b in BLOCK_PAIRS])).alias("pair", "front"))
+        return x != y
+
+    def join_all(self, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        """Those of the pairs that joined what was apart. Most pairs of a large group are dropped unseen."""
+        made = []
+        for k in range(0, len(x), 65_536):
+            a, b = x[k : k + 65_536], y[k : k + 65_536]
+            while len(a):
+                names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                label = np.array([self.root(n) for n in names.tolist()], np.int64)[at]
+                apart = label[: len(a)] != label[len(a) :]
+                a, b = a[apart], b[apart]
+                made += [(p, q) for p, q in zip(a[:1000].tolist(), b[:1000].tolist()) if self.join(p, q)]
+                a, b = a[1000:], b[1000:]
+        return made
+
+
+def links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS, real: bool = False) -> DataFrame:
+    """Edges (a, b) of a forest whose trees span, node by node, what links at `budget` or fewer bits join; if `real`, each
+    edge is such a link itself."""
+    if budget > 6:
+        raise ValueError("the fronts are too short for more than 6 bits")
+    cut, pairs = blocks(budget)
+    depth = min(cut[a][1] + cut[b][1] for a, b in pairs)
+    block = lambda i: F.shiftrightunsigned("fp", cut[i][0]).bitwiseAND((1 << cut[i][1]) - 1)
+    nodes = distinct.select("fp", F.posexplode(F.array(*[F.shiftleft(block(a), cut[b][1]).bitwiseOR(block(b)) for a, b in pairs])).alias("pair", "front"))
     sizes = nodes.groupBy("pair", "front").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / node_rows).cast("int")
     own = F.pmod(F.xxhash64("fp"), "m").cast("int")
@@ -173,16 +211,19 @@ def links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
+        forest, made = Forest(), []
 
         def join(rows: list[np.ndarray]) -> None:
             pair, front, c1, c2, fp = rows
-            keys = with_front(fp.view(np.uint64), pair)
+            keys = with_front(fp.view(np.uint64), pair, budget)
             order = np.lexsort((keys, c2, c1, front, pair))
             keys, names = keys[order], fp[order]
             whole = np.stack([x[order] for x in (pair, front, c1, c2)])
             node = np.concatenate([[0], np.cumsum((np.diff(whole, axis=1) != 0).any(axis=0))])
-            for i, j in trie_join(keys, node, budget):
+            for i, j in trie_join(keys, node, budget, depth):
+                if real:
+                    made.extend(forest.join_all(names[i], names[j]))
+                    continue
                 for x, y in zip(names[i].tolist(), names[j].tolist()):
                     forest.join(x, y)
 
@@ -199,7 +240,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS)
             held.append([x[cut:] for x in rows])
         if held and len(held[0][0]):
             join(held[0])
-        edges = [(x, forest.root(x)) for x in forest.up]
+        edges = made if real else [(x, forest.root(x)) for x in forest.up]
         for i in range(0, len(edges), 50_000):
             a, b = zip(*edges[i : i + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -240,27 +281,40 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def set_of(text: str | None, size: int) -> tuple[int, np.ndarray]:
-    """A signed hash of the text's set of shingles (0 if it is empty), and the set in order."""
+def set_of(text: str | None, size: int) -> tuple[int, int, np.ndarray]:
+    """A signed hash of the text's set of shingles (0 if it is empty), the set's signed fingerprint, and the set in order."""
     import xxhash
 
-    grams = np.unique(shingles(text, size)).view(np.int64)
-    key = xxhash.xxh64_intdigest(grams.tobytes(), 42) if len(grams) else 0
-    return key - (key >> 63 << 64), grams
+    grams = np.unique(shingles(text, size))
+    key, sim = xxhash.xxh64_intdigest(grams.tobytes(), 42) if len(grams) else 0, voted(grams)
+    return key - (key >> 63 << 64), sim - (sim >> 63 << 64), grams.view(np.int64)
 
 
 def shingle_sets(df: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the hash of the set) and grams."""
+    """doc_id, fp (the hash of the set), sim (its fingerprint) and grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                fp, grams = zip(*[set_of(x.as_py(), size) for x in part.column(1)])
+                fp, sim, grams = zip(*[set_of(x.as_py(), size) for x in part.column(1)])
                 ends = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams), pa.int64()))], names=["doc_id", "fp", "grams"])
+                columns = [part.column(0), pa.array(fp, pa.int64()), pa.array(sim, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sim", "grams"])
+
+    own = [T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))]
+    return df.select("doc_id", df[text]).mapInArrow(run, T.StructType([df.schema["doc_id"], *own]))
+
 
-    return df.select("doc_id", df[text]).mapInArrow(run, T.StructType([df.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))]))
+def near_pairs(sims: DataFrame, budget: int) -> DataFrame:
+    """Pairs (a, b) of sets (fp, sim) that the trie join finds at `budget` or fewer bits: enough to connect all such sets."""
+    named = materialise(sims.select("fp", "sim").distinct(), "sims")
+    first = materialise(named.groupBy("sim").agg(F.min("fp").alias("first")), "firsts")  # of sets with one fingerprint
+    edges = links(first.select(F.col("sim").alias("fp")), budget, real=True)
+    end = lambda c: first.select(F.col("sim").alias(c), F.col("first").alias(f"{c}_first"))
+    between = edges.join(end("a"), "a").join(end("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    equal = named.join(first, "sim").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    return materialise(between.unionByName(equal), "near_pairs")
 
 
 def marks(df: DataFrame, name: str) -> np.ndarray:
@@ -327,9 +381,10 @@ def most_shared(x: str, y: str) -> Column:
     return F.least(F.col(f"{x}.s") - apart(x, y), F.col(f"{y}.s") - apart(y, x))
 
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+def similar_links(sets: DataFrame, similarity: float, near: DataFrame) -> DataFrame:
     """Edges (a, b) between set hashes that join all sets of this Jaccard similarity or more, and no others.
 
+    near: candidates (a, b) of the trie join, which are verified first; the prefix filter is for what they leave apart.
     What is written for `sets` is deleted on the way.
     """
     group = Window.partitionBy("gram")
@@ -362,18 +417,25 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         """
         pairs = pairs.select(F.least(p[0], q[0]).alias("a"), F.greatest(p[0], q[0]).alias("b"), (p[1] + q[1]).alias("sum"), F.greatest(p[1], q[1]).alias("more"))
         pairs = pairs.groupBy("a", "b", "sum", "more").count()
-        pairs = pairs.where(F.col("count") + F.ceil(similarity * F.col("more") - NEAR) - 1 >= least * F.col("sum") - NEAR).select("a", "b")
+        return alike(pairs.where(F.col("count") + F.ceil(similarity * F.col("more") - NEAR) - 1 >= least * F.col("sum") - NEAR).select("a", "b"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs. A set that is gone from `own` has none."""
         pairs = pairs.join(own.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return materialise(pairs.where(both >= similarity * (F.size("x") + F.size("y") - both) - NEAR).select("a", "b"), "links")
 
-    edges, named = None, rows.withColumn("label", F.col("fp"))
+    def labelled() -> DataFrame:
+        return materialise(rows.join(components(edges), rows["fp"] == F.col("node"), "left").select("gram", "fp", "n", "s", F.coalesce("root", "fp").alias("label")), "named")
+
+    edges = alike(near)
+    named = labelled()
     for best in (F.struct(-F.col("s") / F.col("n"), F.xxhash64("fp")), F.xxhash64(F.lit(1), "fp")):
         center = named.groupBy("gram").agg(F.min_by(F.struct("fp", "n", "s", "label"), best).alias("c"))
         pairs = named.join(center, "gram").where((F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("s"), F.col("c.n"), F.col("c.s")))
         found = verified((F.col("fp"), F.col("n")), (F.col("c.fp"), F.col("c.n")), pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        named = materialise(rows.join(components(edges), rows["fp"] == F.col("node"), "left").select("gram", "fp", "n", "s", F.coalesce("root", "fp").alias("label")), "named")
+        edges = edges.unionByName(found)
+        named = labelled()
     most = named.groupBy("gram").agg(F.mode("label").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "most")
     named = materialise(named.join(most, "gram").join(parts.drop("s"), "fp"), "apart")
     x, y = named.where("label <> most").alias("x"), named.alias("y")
@@ -386,15 +448,16 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", budget: int = BUDGET, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, fingerprint (hex), component_id, root (a fingerprint that names the component): one row for each row of df.
 
-    Links are those of `budget` bits, or with `similarity` those of the Jaccard similarity; `size`: words of its shingles.
+    Links are those of `budget` bits, or with `similarity` those of the Jaccard similarity, of which the trie join finds the
+    ones within `budget` bits; `size`: words of its shingles.
     """
     if similarity is None:
         fps = materialise(fingerprints(df, text), "fingerprints")
     else:
         sets = materialise(shingle_sets(df, text, size), "shingles")
-        fps = materialise(sets.select("doc_id", "fp"), "fingerprints")
+        fps = materialise(sets.select("doc_id", "fp", "sim"), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp"), budget) if similarity is None else similar_links(sets, similarity))
+    roots = components(links(distinct.select("fp"), budget) if similarity is None else similar_links(sets, similarity, near_pairs(fps, budget)))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialise(named.join(least, "root").select("fp", "root", "component_id"), "components")
